@@ -6,11 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .encode import encode_corpus
+from .leakage import leaked_items
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_spans(spark, folder).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_item"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+_P8 = """
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
+w AS (SELECT DISTINCT item_id, substr(t, k::BIGINT, 50) AS g FROM (SELECT item_id, t, unnest(generate_series(1, length(t) - 49)) AS k FROM i WHERE length(t) >= 50)),
+g AS (SELECT doc_id, substr(t, k::BIGINT, 50) AS g FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 49)) AS k FROM d WHERE length(t) >= 50))
+SELECT DISTINCT doc_id, item_id FROM g JOIN w USING (g)"""
+
+SQL: dict[str, str] = {"p8_found": _P8}
