@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .encode import encode_corpus
 from .leakage import leaked_items
+from .split import split_pieces
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_pieces(read_table(spark, folder, "knowledge_chunk"), read_table(spark, folder, "split_limit")).distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split_pieces(read_table(spark, folder, "knowledge_chunk"), read_table(spark, folder, "split_limit"))
+    return pieces.where("piece_no = 0").select("chunk_id").distinct()
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +31,7 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_item"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 _P8 = """
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
@@ -29,4 +39,9 @@ w AS (SELECT DISTINCT item_id, substr(t, k::BIGINT, 50) AS g FROM (SELECT item_i
 g AS (SELECT doc_id, substr(t, k::BIGINT, 50) AS g FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 49)) AS k FROM d WHERE length(t) >= 50))
 SELECT DISTINCT doc_id, item_id FROM g JOIN w USING (g)"""
 
-SQL: dict[str, str] = {"p8_found": _P8}
+_P5 = """
+SELECT DISTINCT c.id AS chunk_id FROM (SELECT *, CASE WHEN json_valid(meta) THEN meta->>'method' END AS m FROM knowledge_chunk) c
+LEFT JOIN split_limit l ON l.method = c.m
+WHERE length(c.content) // 4 > coalesce(l.max_tokens, (SELECT max_tokens FROM split_limit WHERE method = 'general'))"""
+
+SQL: dict[str, str] = {"p5_found": _P5, "p8_found": _P8}
