@@ -33,6 +33,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage is cut, later reads prune columns."""
+    path = f"{shared_dir(df.sparkSession)}/loomspan-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_file(spark: SparkSession, data: bytes, suffix: str) -> str:
     """Write ``data`` as a new file of the shared folder; returns its URI."""
     jvm = spark.sparkContext._jvm
