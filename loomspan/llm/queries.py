@@ -7,9 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .encode import encode_corpus
 from .leakage import leaked_items
+from .near_duplicates import groups, similar_classes, similar_pairs
 from .split import split_pieces
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(*similar_classes(read_table(spark, folder, "knowledge_chunk"))).select("chunk_a", "chunk_b")
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return groups(*similar_classes(read_table(spark, folder, "knowledge_chunk")))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(read_table(spark, folder, "knowledge_chunk"), read_table(spark, folder, "split_limit")).distinct()
 
@@ -31,7 +40,7 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_item"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 _P8 = """
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
