@@ -3,28 +3,32 @@
 The similarity of two texts is the Jaccard coefficient of their sets of ``SHINGLE``-character
 sequences, after lower-casing, replacing white space runs by a blank and trimming.
 
-1. All texts are counted into a table of ``SLOTS`` counters (a shingle counts in the slot of its
-   hash), which orders shingles by rarity over the whole collection at a fixed size.
-2. Each distinct text (class of exact copies) gets *tiles*: of its rarest shingles, the stretch of
-   ``TILE`` characters around each. The number of tiles grows with the text. It also gets a hashed bitmap
-   of ``BITS`` bits, one set for each shingle, and the number of its distinct shingles.
+1. All texts are counted into a table of counters (a shingle counts in the slot of its hash),
+   which orders shingles by rarity over the whole collection at a fixed size.
+2. Each distinct text (class of exact copies) gets a hashed bitmap of ``BITS`` bits, one set for
+   each shingle, its number of distinct shingles, and *tiles*: the stretches of ``TILE``
+   letters and digits around its rarest shingles (other signs left out, so a changed separator
+   does no harm; texts of mostly other signs have tiles of all signs, those in between both).
+   The tiles are counted the same way and the rarer part of each text's tiles is kept, in
+   proportion to its length; a tile whose slot only one text uses has no partner and goes.
 3. Texts meet in tiles, in bands of size: only pairs whose sizes allow the threshold meet.
-4. Bit counts bound the overlap of a pair from above: each bit set in one bitmap only stands for at least
-   one shingle that the other text lacks. Pairs whose bound is under the necessary overlap go.
+4. Bit counts bound the overlap of a pair from above: each bit set in one bitmap only stands for
+   at least one shingle that the other text lacks. Pairs whose bound is too low go.
 5. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
 
-Steps 4 and 5 are exact and nothing is capped: no tile, bucket or partner list has a limit. Step 3 finds a pair if it has one tile in common, that is, if one stretch of
-``TILE`` characters around a rare shingle of both survived the edits. The README gives the recall
+Steps 3 to 5 drop no pair that meets the threshold, and nothing is capped: no tile or partner
+list has a limit. A pair is found if it shares one kept tile, that is, if one stretch of
+``TILE`` letters around a rare shingle of both survived the edits; the README gives the recall
 measured against brute force.
 
 Distribution. Copies are reduced to one row per class in every task before anything is shuffled;
 tiles are joined by sort-merge, so Spark splits hot ones (adaptive skew join); texts are fetched
-only for pairs that passed the bound. Nothing but the fixed-size counters is broadcast.
+only for pairs that passed the bound. Only the counters, of fixed size, are broadcast.
 
 Results for odd input: NULL texts and those under ``SHINGLE`` characters pair with nothing;
-repeated rows of an id count once (an id with several texts has the pairs of all of them); an empty
-table gives no rows. Copies of one text are pairs of similarity 1: all of them in
-classes up to ``EXPAND`` members; a larger class is given by pairs of its representative (smallest id) with
+repeated rows of an id count once (an id with several texts has the pairs of all of them); an
+empty table gives no rows. Copies of one text are pairs of similarity 1: all of them in classes up
+to ``EXPAND`` members; a larger class is given by pairs of its representative (smallest id) with
 each copy, and only its representative is paired with other texts.
 """
 
@@ -33,11 +37,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, materialize
@@ -46,11 +52,14 @@ from .arrays import blocks, owners, rolling
 SHINGLE = 5
 TILE = 13
 THRESHOLD = 0.7
-SLOTS_LOG2 = 20
+SHINGLE_SLOTS_LOG2 = 20
+TILE_SLOTS_LOG2 = 22
 BITS = 1024
 EXPAND = 64
-_CHUNK = 4096  # counters per row when the table is put together
-_SPACE = re.compile(r"\s+")
+#: Share of letters and digits from which tiles are made of those, and up to which they are made of all signs.
+LETTERS_FROM, SIGNS_UP_TO = 0.35, 0.65
+_CHUNK = 4096  # counters per row when a table is put together
+_SPACE, _SIGNS = re.compile(r"\s+"), re.compile(r"[\W_]+")
 _WORDS = [f"b{i}" for i in range(BITS // 64)]
 
 
@@ -71,64 +80,116 @@ def _shingled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield lo, cp, offsets, h, np.nonzero(np.arange(len(h)) + SHINGLE <= end)[0]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+def tile_texts(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The sign sequences whose stretches are tiles, and the text each is of."""
+    out, of = [], []
+    for i, t in enumerate(texts):
+        if len(t) < SHINGLE:
+            continue
+        plain = _SIGNS.sub("", t)
+        share = len(plain) / len(t)
+        if share >= LETTERS_FROM and len(plain) >= SHINGLE:
+            out.append(plain)
+            of.append(i)
+        if share <= SIGNS_UP_TO or len(plain) < SHINGLE:
+            out.append(t)
+            of.append(i)
+    return out, of
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SLOTS_LOG2, np.int64)
-    for batch in batches:
-        for _, _, _, h, at in _shingled([normalise(t) for t in batch.column(0).to_pylist()]):
-            total += np.bincount(_slot(h[at]), minlength=len(total))
-    small = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, _CHUNK)
+def _slot(h: np.ndarray, log2: int) -> np.ndarray:
+    return (h >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def _table_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A counter table as rows of ``_CHUNK`` counters; a task's counters stop at 255."""
+    small = np.minimum(total, 255).astype(np.uint8).reshape(-1, _CHUNK)
     some = np.nonzero(small.any(axis=1))[0]
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([small[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
 
 
-def _add(keys: tuple, group: pa.Table) -> pa.Table:
-    total = np.zeros(_CHUNK, np.uint64)
-    for x in group.column("counts").to_pylist():
-        total += np.frombuffer(x, np.uint32)
-    return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()], pa.binary())})
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SHINGLE_SLOTS_LOG2, np.int64)
+    for batch in batches:
+        for _, _, _, h, at in _shingled(tile_texts([normalise(t) for t in batch.column(0).to_pylist()])[0]):
+            total += np.bincount(_slot(h[at], SHINGLE_SLOTS_LOG2), minlength=len(total))
+    wide = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, _CHUNK)
+    some = np.nonzero(wide.any(axis=1))[0]
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([wide[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+
 
+def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << TILE_SLOTS_LOG2, np.int64)
+    for batch in batches:
+        keys = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        total += np.bincount(_slot(keys.view(np.uint64), TILE_SLOTS_LOG2), minlength=len(total))
+    yield from _table_rows(total)
 
-def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """The table of counters over all rows of the one column of ``texts``; its size is fixed."""
-    parts = texts.mapInArrow(_count, "part bigint, counts binary").groupBy("part").applyInArrow(_add, "part bigint, counts binary")
-    table = np.zeros((1 << SLOTS_LOG2) // _CHUNK * _CHUNK, np.uint32).reshape(-1, _CHUNK)
-    for r in parts.toLocalIterator():
+
+def _adder(kind: str):
+    def add(keys: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, np.uint64)
+        for x in group.column("counts").to_pylist():
+            total += np.frombuffer(x, kind)
+        out = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    return add
+
+
+def _gather(parts: DataFrame, kind: str, log2: int) -> np.ndarray:
+    """The sum of counter tables; its size is fixed."""
+    table = np.zeros((1 << log2) // _CHUNK * _CHUNK, np.uint32).reshape(-1, _CHUNK)
+    for r in parts.groupBy("part").applyInArrow(_adder(kind), "part bigint, counts binary").toLocalIterator():
         table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
     return table.ravel()
 
 
 def tiles_of(size: np.ndarray) -> np.ndarray:
-    """How many tiles a text with ``size`` shingle positions gets."""
+    """How many tiles a sequence of ``size`` signs gets."""
     return 12 + size // 32
 
 
+def kept_of(tiles: int) -> int:
+    """How many of its tiles, the rarer ones, a text keeps."""
+    return 12 if tiles <= 14 else max(12, 8 + (tiles - 12) // 2)
+
+
 def _features(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
             texts = [normalise(t) for t in batch.column(1).to_pylist()]
             classes = [class_of(t) if len(t) >= SHINGLE else None for t in texts]
-            ids = batch.column(0).to_pylist()
             fresh = []
             for i, c in enumerate(classes):
                 if c is not None and c not in seen:
                     seen.add(c)
                     fresh.append(i)
-            at_row = {}
-            for lo, cp, offsets, h, at in _shingled([texts[i] for i in fresh]):
-                n, keys, first, bits = block_features(cp, offsets, h, at, counts)
-                for k in range(len(n)):
-                    at_row[fresh[lo + k]] = (int(n[k]), keys[first[k] : first[k + 1]], bits[k])
-            whole = [at_row.get(i) for i in range(len(ids))]
+            rows = len(texts)
+            n, words, mask = np.zeros(rows, np.int32), np.zeros((rows, len(_WORDS)), np.int64), np.ones(rows, bool)
+            new = np.array(fresh, np.int64)
+            mask[new] = False
+            chosen = [texts[i] for i in fresh]
+            for lo, _, offsets, h, at in _shingled(chosen):
+                here = new[lo : lo + len(offsets) - 1]
+                n[here], words[here] = sizes_and_bitmaps(offsets, h, at)
+            sequences, of = tile_texts(chosen)
+            keys, owner = [], []
+            for lo, cp, offsets, h, at in _shingled(sequences):
+                k, w = block_tiles(cp, offsets, h, at, counts)
+                keys.append(k)
+                owner.append(new[np.array(of, np.int64)[lo + w]])
+            k, w = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            by = np.lexsort((k, w))
+            k, w = k[by], w[by]
+            one = np.ones(len(k), bool)
+            one[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+            k, w = k[one], w[one]
+            ends = np.searchsorted(w, np.arange(rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(k))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.string()), pa.array(classes, pa.int64()), pa.array([w and w[0] for w in whole], pa.int32()), pa.array([None if w is None else w[1] for w in whole], pa.list_(pa.int64())),
-                    *(pa.array([None if w is None else w[2][j] for w in whole], pa.int64()) for j in range(len(_WORDS))),
-                ],
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(n, mask=mask), lists, *(pa.array(words[:, j], mask=mask) for j in range(len(_WORDS)))],
                 names=["id", "cls", "n", "keys", *_WORDS],
             )
 
@@ -138,58 +199,71 @@ def _features(shared: Broadcast):
 _FEATURES = "id string, cls bigint, n int, keys array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS)
 
 
-def block_features(cp: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: distinct shingles; per text its tiles' keys from first[i] to first[i + 1]; its bitmap as 64-bit words."""
+def sizes_and_bitmaps(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles of each text, and its bitmap as 64-bit words."""
     rows = len(offsets) - 1
-    owner = owners(offsets)
-    own, hashes = owner[at], h[at]
-    order = np.lexsort((hashes, own))
-    o, s = own[order], hashes[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-    n = np.bincount(o[new], minlength=rows)
-    bit = (s[new] & np.uint64(BITS - 1)).astype(np.int64)
+    bits = max(1, int(rows - 1).bit_length())
+    both = np.sort((owners(offsets)[at].astype(np.uint64) << np.uint64(64 - bits)) | (h[at] >> np.uint64(bits)))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    own = (both >> np.uint64(64 - bits)).astype(np.int64)
     bitmap = np.zeros((rows, BITS), bool)
-    bitmap[o[new], bit] = True
-    words = np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
-
-    rare = counts[_slot(hashes)].astype(np.uint64)
-    score = (np.minimum(rare, np.uint64((1 << 24) - 1)) << np.uint64(32)) | (hashes >> np.uint64(32))
-    spaced = np.full(len(cp) + 6, np.iinfo(np.uint64).max, np.uint64)
-    spaced[at + 3] = score
-    least = np.ones(len(at), bool)
-    for d in (-3, -2, -1, 1, 2, 3):
-        near = at + d
-        same = (near >= 0) & (near < len(cp))
-        same[same] = owner[near[same]] == own[same]
-        least &= ~same | (score <= spaced[at + d + 3])
+    bitmap[own, ((both << np.uint64(bits)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.bincount(own, minlength=rows), np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
+
+
+def block_tiles(cp: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sequence) of the tiles of each sequence of a block."""
+    most = np.iinfo(np.uint64).max
+    score = np.full(len(cp) + 6, most, np.uint64)
+    found = h[at]
+    score[at + 3] = (np.minimum(counts[_slot(found, SHINGLE_SLOTS_LOG2)].astype(np.uint64), np.uint64((1 << 24) - 1)) << np.uint64(32)) | (found & np.uint64(0xFFFFFFFF))
+    mid = score[3 : len(cp) + 3]
+    least = mid < most
+    for d in (0, 1, 2, 4, 5, 6):  # a sequence's last positions have no shingle, so neighbours are of the same one
+        least &= mid <= score[d : len(cp) + d]
     length = np.diff(offsets)
-    least |= length[own] <= 64
-    pick, who = at[least], own[least]
-    by = np.lexsort((score[least], who))
+    owner = owners(offsets)
+    least |= (length[owner] <= 64) & (mid < most)
+    pick = np.nonzero(least)[0]
+    who = owner[pick]
+    by = np.lexsort((mid[pick], who))
     pick, who = pick[by], who[by]
-    begin = np.searchsorted(who, np.arange(rows))
-    keep = np.arange(len(who)) - begin[who] < tiles_of(length)[who]
+    first = np.searchsorted(who, np.arange(len(length)))
+    keep = np.arange(len(who)) - first[who] < tiles_of(length)[who]
     pick, who = pick[keep], who[keep]
     wide = length[who] >= TILE
-    keys = np.zeros(len(pick), np.uint64)
+    keys = h[pick].copy() if len(pick) else np.zeros(0, np.uint64)
     if wide.any():
         around = rolling(cp, TILE)
-        left = np.clip(pick[wide] - (TILE - SHINGLE) // 2, offsets[who[wide]], offsets[who[wide] + 1] - TILE)
-        keys[wide] = around[left]
-    keys[~wide] = h[pick[~wide]]
-    both = np.lexsort((keys, who))
-    k, w = keys[both], who[both]
-    one = np.ones(len(k), bool)
-    one[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-    k, w = k[one].view(np.int64), w[one]
-    return n, k, np.searchsorted(w, np.arange(rows + 1)), words
-
-
-def _bound(a: str, b: str) -> F.Column:
+        keys[wide] = around[np.clip(pick[wide] - (TILE - SHINGLE) // 2, offsets[who[wide]], offsets[who[wide] + 1] - TILE)]
+    return keys.view(np.int64), who
+
+
+def _select(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(cls)), size)
+            seen = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)]
+            by = np.lexsort((keys, seen, row))
+            keys, row, seen = keys[by], row[by], seen[by]
+            first = np.cumsum(size) - size
+            most = np.array([kept_of(x) for x in range(int(size.max(initial=0)) + 1)])[size]
+            keep = (np.arange(len(keys)) - first[row] < most[row]) & (seen > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(cls[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], names=["tile", "cls", "n"])
+
+    return run
+
+
+def _bound(a: str, b: str) -> Column:
     """An upper bound of the overlap, from both bitmaps."""
-    only_a = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{w}")))) for w in _WORDS[1:]), F.bit_count(F.col(f"{a}.{_WORDS[0]}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{_WORDS[0]}")))))
-    return F.col(f"{a}.n") - only_a
+    only_a = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{w}")))) for w in _WORDS))
+    return F.col(f"{a}_n") - only_a
 
 
 def _verify(threshold: float):
@@ -233,19 +307,23 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """(members: cls, id; links: a, b, similarity of classes, a < b), both materialised in the shared folder."""
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    counts = shingle_counts(rows.select("text"))
-    features = materialize(rows.mapInArrow(_features(spark.sparkContext.broadcast(counts)), _FEATURES))
+    spread = spark.sparkContext.broadcast
+    counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u4", SHINGLE_SLOTS_LOG2)
+    features = materialize(rows.mapInArrow(_features(spread(counts)), _FEATURES))
     members = features.where("cls IS NOT NULL").select("cls", "id").distinct()
 
-    tiles = features.where("keys IS NOT NULL").select("cls", "n", F.explode("keys").alias("tile"))
+    classes = features.where("n IS NOT NULL")
+    tile_counts = _gather(classes.select("keys").mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2)
+    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(spread(np.minimum(tile_counts, 65535).astype(np.uint16))), "tile bigint, cls bigint, n int")
     a, b = tiles.select("tile", F.col("cls").alias("a"), F.col("n").alias("na")), tiles.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
     pairs = a.join(b, "tile").where(fits).select("a", "b").distinct()
 
-    sigs = features.where("keys IS NOT NULL").select("cls", F.struct("n", *_WORDS).alias("s")).dropDuplicates(["cls"])
-    pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("sa.n") + F.col("sb.n")) - 1e-6)
-    pairs = materialize(pairs.where((_bound("sa", "sb") >= needed) & (_bound("sb", "sa") >= needed)).select("a", "b"))
+    sigs = classes.groupBy("cls").agg(*(F.min(c).alias(c) for c in ("n", *_WORDS)))
+    for side in "ab":
+        pairs = pairs.join(sigs.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_WORDS))), side)
+    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    pairs = materialize(pairs.where((_bound("a", "b") >= needed) & (_bound("b", "a") >= needed)).select("a", "b"))
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = rows.select("text").mapInArrow(_texts, "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
