@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .encode import encode_corpus
+from .languages import document_languages, label_defects, language_segments
 from .leakage import leaked_items
+from .markup import cleaned, found, texts_of
 from .near_duplicates import groups, similar_classes, similar_pairs
 from .split import split_pieces
 
@@ -28,6 +30,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece_no = 0").select("chunk_id").distinct()
 
 
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    return texts_of(read_table(spark, folder, "knowledge_chunk"), read_table(spark, folder, "golden_set"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return found(_marked(spark, folder))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaned(_marked(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(read_table(spark, folder, "documents"))
 
@@ -40,7 +54,19 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "heldout_item"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return document_languages(read_table(spark, folder, "documents"))
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language_segments(read_table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return label_defects(p9_languages(spark, folder))
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 _P8 = """
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
