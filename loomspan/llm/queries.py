@@ -10,9 +10,18 @@ from .languages import document_languages, label_defects, language_segments
 from .leakage import leaked_items
 from .markup import cleaned, found, texts_of
 from .near_duplicates import groups, similar_classes, similar_pairs
+from .pairs import all_pairs, pair_defects
 from .split import split_pieces
 
 
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects(all_pairs(read_table(spark, folder, "golden_set"), read_table(spark, folder, "eval_result"))).distinct()
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_defects(spark, folder).where("defect IS NOT NULL").select("origin", "pair_id", "defect").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(*similar_classes(read_table(spark, folder, "knowledge_chunk"))).select("chunk_a", "chunk_b")
 
@@ -66,7 +75,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return label_defects(p9_languages(spark, folder))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+QUERIES = {"p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 _P8 = """
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
