@@ -11,15 +11,17 @@ sequences, after lower-casing, replacing white space runs by a blank and trimmin
    does no harm; texts of mostly other signs have tiles of all signs, those in between both).
    The tiles are counted the same way and the rarer part of each text's tiles is kept, in
    proportion to its length; a tile whose slot only one text uses has no partner and goes.
-3. Texts meet in tiles, in bands of size: only pairs whose sizes allow the threshold meet.
+   Each kept tile carries a small bitmap of all the text's tiles.
+3. Texts meet in tiles, in bands of size: only pairs whose sizes allow the threshold meet, and
+   whose tile bitmaps have ``COMMON`` of the smaller one's bits in common.
 4. Bit counts bound the overlap of a pair from above: each bit set in one bitmap only stands for
    at least one shingle that the other text lacks. Pairs whose bound is too low go.
 5. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
 
-Steps 3 to 5 drop no pair that meets the threshold, and nothing is capped: no tile or partner
-list has a limit. A pair is found if it shares one kept tile, that is, if one stretch of
-``TILE`` letters around a rare shingle of both survived the edits; the README gives the recall
-measured against brute force.
+Steps 4 and 5 drop no pair that meets the threshold, and nothing is capped: no tile or partner
+list has a limit. A pair is found if it shares one kept tile and a quarter of all tiles, that is,
+if that share of the stretches of ``TILE`` letters around rare shingles survived the edits; the
+README gives the recall measured against brute force.
 
 Distribution. Copies are reduced to one row per class in every task before anything is shuffled;
 tiles are joined by sort-merge, so Spark splits hot ones (adaptive skew join); texts are fetched
@@ -54,13 +56,19 @@ TILE = 13
 THRESHOLD = 0.7
 SHINGLE_SLOTS_LOG2 = 20
 TILE_SLOTS_LOG2 = 22
+TILE_BITS = 192
+COMMON = 0.25
 BITS = 1024
 EXPAND = 64
+#: Texts are filtered by a broadcast bit table of at most so many bits (a power of two), beyond it by the join alone.
+MARK_BITS_LOG2 = 27
 #: Share of letters and digits from which tiles are made of those, and up to which they are made of all signs.
 LETTERS_FROM, SIGNS_UP_TO = 0.35, 0.65
 _CHUNK = 4096  # counters per row when a table is put together
 _SPACE, _SIGNS = re.compile(r"\s+"), re.compile(r"[\W_]+")
 _WORDS = [f"b{i}" for i in range(BITS // 64)]
+_TILE_WORDS = [f"t{i}" for i in range(TILE_BITS // 64)]
+_TILES = "tile bigint, cls bigint, n int, " + ", ".join(f"{w} bigint" for w in _TILE_WORDS)
 
 
 def normalise(text: str | None) -> str:
@@ -113,7 +121,7 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for _, _, _, h, at in _shingled(tile_texts([normalise(t) for t in batch.column(0).to_pylist()])[0]):
             total += np.bincount(_slot(h[at], SHINGLE_SLOTS_LOG2), minlength=len(total))
-    wide = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, _CHUNK)
+    wide = np.minimum(total, np.iinfo(np.uint16).max).astype(np.uint16).reshape(-1, _CHUNK)
     some = np.nonzero(wide.any(axis=1))[0]
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([wide[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
 
@@ -152,7 +160,7 @@ def tiles_of(size: np.ndarray) -> np.ndarray:
 
 def kept_of(tiles: int) -> int:
     """How many of its tiles, the rarer ones, a text keeps."""
-    return 12 if tiles <= 14 else max(12, 8 + (tiles - 12) // 2)
+    return max(10, -(-tiles * 11 // 20))
 
 
 def _features(shared: Broadcast):
@@ -255,11 +263,24 @@ def _select(shared: Broadcast):
             first = np.cumsum(size) - size
             most = np.array([kept_of(x) for x in range(int(size.max(initial=0)) + 1)])[size]
             keep = (np.arange(len(keys)) - first[row] < most[row]) & (seen > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(cls[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], names=["tile", "cls", "n"])
+            bitmap = np.zeros((len(cls), TILE_BITS), bool)
+            bitmap[row, (keys.view(np.uint64) >> np.uint64(8)) % np.uint64(TILE_BITS)] = True
+            words = np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
+            at = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[keep]), pa.array(cls[at]), pa.array(n[at].astype(np.int32)), *(pa.array(words[at, j]) for j in range(len(_TILE_WORDS)))], names=["tile", "cls", "n", *_TILE_WORDS]
+            )
 
     return run
 
 
+def _share_tiles(a: str, b: str) -> Column:
+    """Whether enough tiles can be common to both, from the tile bitmaps."""
+    both = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.col(f"{b}_{w}"))) for w in _TILE_WORDS))
+    size = [reduce(add, (F.bit_count(F.col(f"{x}_{w}")) for w in _TILE_WORDS)) for x in (a, b)]
+    return both >= F.lit(COMMON) * F.least(*size)
+
+
 def _bound(a: str, b: str) -> Column:
     """An upper bound of the overlap, from both bitmaps."""
     only_a = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{w}")))) for w in _WORDS))
@@ -292,50 +313,109 @@ def _verify(threshold: float):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen, classes, kept = set(), [], []
-        for t in map(normalise, batch.column(0).to_pylist()):
-            if len(t) >= SHINGLE and (c := class_of(t)) not in seen:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
+def _marked(shared: Broadcast):
+    """Rows whose class (the first column) may be among the marked ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        log2 = len(bits).bit_length() - 1
+        for batch in batches:
+            keep = bits[_slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log2)]
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _mark_bits(log2: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << log2, bool)
+        for batch in batches:
+            bits[_slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log2)] = True
+        packed = np.packbits(bits).reshape(-1, _CHUNK)
+        some = np.nonzero(packed.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def _marks(classes: DataFrame) -> np.ndarray | None:
+    """A bit table that has every class in it, 16 bits a class; None if that would pass ``MARK_BITS_LOG2``."""
+    log2 = max(16, (16 * classes.count()).bit_length())
+    if log2 > MARK_BITS_LOG2:
+        return None
+    table = np.zeros(((1 << log2) // 8 // _CHUNK, _CHUNK), np.uint8)
+    for r in classes.mapInArrow(_mark_bits(log2), "part bigint, bits binary").toLocalIterator():
+        table[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def _texts(shared: Broadcast | None):
+    """(class, text) once per class in a task; with marks, only of classes that may be among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if shared is None else np.unpackbits(shared.value).view(bool)
+        log2 = 0 if bits is None else len(bits).bit_length() - 1
+        seen: set[int] = set()
+        for batch in batches:
+            classes, kept = [], []
+            for t in map(normalise, batch.column(0).to_pylist()):
+                if len(t) < SHINGLE or (c := class_of(t)) in seen or (bits is not None and not bits[(c & 0xFFFFFFFFFFFFFFFF) >> (64 - log2)]):
+                    continue
                 seen.add(c)
                 classes.append(c)
                 kept.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(kept, pa.string())], names=["cls", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(kept, pa.string())], names=["cls", "text"])
+
+    return run
 
 
 def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(members: cls, id; links: a, b, similarity of classes, a < b), both materialised in the shared folder."""
+    """(members: cls, id, as often as delivered; links: a, b, similarity of classes, a < b), both from tables in the shared folder."""
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     spread = spark.sparkContext.broadcast
-    counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u4", SHINGLE_SLOTS_LOG2)
+    counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u2", SHINGLE_SLOTS_LOG2)
     features = materialize(rows.mapInArrow(_features(spread(counts)), _FEATURES))
-    members = features.where("cls IS NOT NULL").select("cls", "id").distinct()
 
     classes = features.where("n IS NOT NULL")
-    tile_counts = _gather(classes.select("keys").mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2)
-    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(spread(np.minimum(tile_counts, 65535).astype(np.uint16))), "tile bigint, cls bigint, n int")
-    a, b = tiles.select("tile", F.col("cls").alias("a"), F.col("n").alias("na")), tiles.select("tile", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    few = max(4, features.rdd.getNumPartitions() // 4)  # a counter table per task: few tasks for this quick pass
+    tile_counts = _gather(classes.select("keys").coalesce(few).mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2)
+    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(spread(np.minimum(tile_counts, 65535).astype(np.uint16))), _TILES)
+    a, b = (tiles.select("tile", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{x}_{w}") for w in _TILE_WORDS)) for x in "ab")
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
-    pairs = a.join(b, "tile").where(fits).select("a", "b").distinct()
-
-    sigs = classes.groupBy("cls").agg(*(F.min(c).alias(c) for c in ("n", *_WORDS)))
+    pairs = a.join(b, "tile").where(fits & _share_tiles("a", "b")).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
+    pairs = materialize(pairs)
+
+    both = _ends(pairs)
+    mark = _marks(both)
+    sigs = classes.select("cls", "n", *_WORDS)
+    if mark is not None:
+        sigs = sigs.mapInArrow(_marked(spread(mark)), "cls bigint, n int, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    sigs = sigs.groupBy("cls").agg(*(F.min(c).alias(c) for c in ("n", *_WORDS)))
     for side in "ab":
         pairs = pairs.join(sigs.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_WORDS))), side)
     needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6)
     pairs = materialize(pairs.where((_bound("a", "b") >= needed) & (_bound("b", "a") >= needed)).select("a", "b"))
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = rows.select("text").mapInArrow(_texts, "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    wanted = _ends(pairs)
+    mark = _marks(wanted)
+    texts = rows.select("text").mapInArrow(_texts(None if mark is None else spread(mark)), "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
-    return members, links
+    return features.where("cls IS NOT NULL").select("cls", "id"), links
 
 
 def similar_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """chunk_a < chunk_b and their similarity, copies included."""
-    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
-    m = members.join(sizes.where("copies > 1"), "cls", "left")
+    several = members.groupBy("cls").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("cls")
+    involved = several.union(_ends(links)).distinct()
+    m = materialize(members.join(involved, "cls", "left_semi").distinct())
+    sizes = m.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
+    m = m.join(sizes.where("copies > 1"), "cls", "left")
     shown = m.where(F.col("copies").isNull() | (F.col("copies") <= expand) | (F.col("id") == F.col("rep"))).select("cls", "id")
     across = links.join(shown.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
     copies = m.where("copies > 1")
@@ -352,6 +432,7 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     Components by repeated minimum: each round every class takes the smallest label among its own, its
     neighbours' and the label of its label, so paths halve; the rounds end when nothing changes.
     """
+    members = members.distinct()
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     label = cut(edges.select(F.col("a").alias("v")).distinct().withColumn("g", F.col("v")))
