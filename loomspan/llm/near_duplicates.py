@@ -18,10 +18,15 @@ sequences, after lower-casing, replacing white space runs by a blank and trimmin
    at least one shingle that the other text lacks. Pairs whose bound is too low go.
 5. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
 
+Texts of at most ``SHORT`` shingles are found without exception, whatever the edits: they, and all
+texts that can be similar to them, also meet in each of the rarest shingles that two similar texts
+must have one of in common (the prefix of the set), and carry a bitmap of their shingles that
+bounds the overlap there and then.
+
 Steps 4 and 5 drop no pair that meets the threshold, and nothing is capped: no tile or partner
-list has a limit. A pair is found if it shares one kept tile and a quarter of all tiles, that is,
-if that share of the stretches of ``TILE`` letters around rare shingles survived the edits; the
-README gives the recall measured against brute force.
+list has a limit. A pair of longer texts is found if it shares one kept tile and a quarter of all
+tiles, that is, if that share of the stretches of ``TILE`` letters around rare shingles survived
+the edits; the README gives the recall measured against brute force.
 
 Distribution. Copies are reduced to one row per class in every task before anything is shuffled;
 tiles are joined by sort-merge, so Spark splits hot ones (adaptive skew join); texts are fetched
@@ -49,22 +54,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, materialize
-from .arrays import blocks, owners, rolling
+from .arrays import blocks, owners, ragged, rolling
 
 SHINGLE = 5
 TILE = 13
 THRESHOLD = 0.7
 SHINGLE_SLOTS_LOG2 = 20
-TILE_SLOTS_LOG2 = 22
+TILE_SLOTS_LOG2 = 24
 TILE_BITS = 192
 COMMON = 0.25
+USUAL = 32
+SHORT = 128
 BITS = 1024
 EXPAND = 64
 #: Texts are filtered by a broadcast bit table of at most so many bits (a power of two), beyond it by the join alone.
 MARK_BITS_LOG2 = 27
 #: Share of letters and digits from which tiles are made of those, and up to which they are made of all signs.
 LETTERS_FROM, SIGNS_UP_TO = 0.35, 0.65
-_CHUNK = 4096  # counters per row when a table is put together
+_CHUNK = 16384  # counters per row when a table is put together
 _SPACE, _SIGNS = re.compile(r"\s+"), re.compile(r"[\W_]+")
 _WORDS = [f"b{i}" for i in range(BITS // 64)]
 _TILE_WORDS = [f"t{i}" for i in range(TILE_BITS // 64)]
@@ -127,29 +134,30 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << TILE_SLOTS_LOG2, np.int64)
+    total = np.zeros(1 << TILE_SLOTS_LOG2, np.uint16)
     for batch in batches:
-        keys = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        total += np.bincount(_slot(keys.view(np.uint64), TILE_SLOTS_LOG2), minlength=len(total))
+        keys = np.concatenate([batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)])
+        slot, n = np.unique(_slot(keys.view(np.uint64), TILE_SLOTS_LOG2), return_counts=True)
+        total[slot] = np.minimum(total[slot] + n, 255)
     yield from _table_rows(total)
 
 
-def _adder(kind: str):
+def _adder(kind: str, out: str):
     def add(keys: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(_CHUNK, np.uint64)
         for x in group.column("counts").to_pylist():
             total += np.frombuffer(x, kind)
-        out = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
+        some = np.minimum(total, np.iinfo(out).max).astype(out)
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([some.tobytes()], pa.binary())})
 
     return add
 
 
-def _gather(parts: DataFrame, kind: str, log2: int) -> np.ndarray:
-    """The sum of counter tables; its size is fixed."""
-    table = np.zeros((1 << log2) // _CHUNK * _CHUNK, np.uint32).reshape(-1, _CHUNK)
-    for r in parts.groupBy("part").applyInArrow(_adder(kind), "part bigint, counts binary").toLocalIterator():
-        table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+def _gather(parts: DataFrame, kind: str, log2: int, out: str = "<u4") -> np.ndarray:
+    """The sum of counter tables; its size is fixed, counters stop at what ``out`` holds."""
+    table = np.zeros(1 << log2, out).reshape(-1, _CHUNK)
+    for r in parts.groupBy("part").applyInArrow(_adder(kind, out), "part bigint, counts binary").toLocalIterator():
+        table[r["part"]] = np.frombuffer(r["counts"], out)
     return table.ravel()
 
 
@@ -163,7 +171,20 @@ def kept_of(tiles: int) -> int:
     return max(10, -(-tiles * 11 // 20))
 
 
-def _features(shared: Broadcast):
+def prefix_of(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Bitmap words of a short text's shingles, then the keys of those of which similar texts share one."""
+    n = len(shingles)
+    bits = np.zeros(TILE_BITS, bool)
+    bits[(shingles >> np.uint64(8)) % np.uint64(TILE_BITS)] = True
+    order = np.lexsort((shingles, counts[_slot(shingles, SHINGLE_SLOTS_LOG2)]))
+    rare = shingles[order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+    keys = (rare ^ np.uint64(0x5DEECE66D1CE4E5B)) * np.uint64(0x9E3779B97F4A7C15)  # apart from the keys of tiles
+    return np.concatenate([np.packbits(bits, bitorder="little").view(np.int64), keys.view(np.int64)])
+
+
+def _features(shared: Broadcast, threshold: float):
+    longest = int(SHORT / threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
@@ -175,6 +196,7 @@ def _features(shared: Broadcast):
                     seen.add(c)
                     fresh.append(i)
             rows = len(texts)
+            short: list[np.ndarray | None] = [None] * rows
             n, words, mask = np.zeros(rows, np.int32), np.zeros((rows, len(_WORDS)), np.int64), np.ones(rows, bool)
             new = np.array(fresh, np.int64)
             mask[new] = False
@@ -182,6 +204,9 @@ def _features(shared: Broadcast):
             for lo, _, offsets, h, at in _shingled(chosen):
                 here = new[lo : lo + len(offsets) - 1]
                 n[here], words[here] = sizes_and_bitmaps(offsets, h, at)
+                ends = np.searchsorted(at, offsets)
+                for i in np.nonzero(n[here] <= longest)[0]:
+                    short[here[i]] = prefix_of(np.unique(h[at[ends[i] : ends[i + 1]]]), counts, threshold)
             sequences, of = tile_texts(chosen)
             keys, owner = [], []
             for lo, cp, offsets, h, at in _shingled(sequences):
@@ -197,14 +222,14 @@ def _features(shared: Broadcast):
             ends = np.searchsorted(w, np.arange(rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(n, mask=mask), lists, *(pa.array(words[:, j], mask=mask) for j in range(len(_WORDS)))],
-                names=["id", "cls", "n", "keys", *_WORDS],
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(n, mask=mask), lists, pa.array(short, pa.list_(pa.int64())), *(pa.array(words[:, j], mask=mask) for j in range(len(_WORDS)))],
+                names=["id", "cls", "n", "keys", "short", *_WORDS],
             )
 
     return run
 
 
-_FEATURES = "id string, cls bigint, n int, keys array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS)
+_FEATURES = "id string, cls bigint, n int, keys array<bigint>, short array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS)
 
 
 def sizes_and_bitmaps(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,6 +273,30 @@ def block_tiles(cp: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarr
     return keys.view(np.int64), who
 
 
+def _level(seen: np.ndarray) -> np.ndarray:
+    """How common tiles are: 0 up to ``USUAL`` texts, then a level for each doubling. Within a level all texts prefer the same tiles, whether others share them or not."""
+    return np.ceil(np.log2(np.maximum(seen / USUAL, 1.0))).astype(np.int64)
+
+
+def _short_tiles(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, width = shared.value, len(_TILE_WORDS)
+        for batch in batches:
+            cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(cls)), size - width)
+            keys = flat[ragged(start + width, size - width)]
+            keep = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)] > 1
+            at = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[keep]), pa.array(cls[at]), pa.array(-n[at].astype(np.int32)), *(pa.array(flat[start[at] + j]) for j in range(width))], names=["tile", "cls", "n", *_TILE_WORDS]
+            )
+
+    return run
+
+
 def _select(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -258,7 +307,7 @@ def _select(shared: Broadcast):
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(cls)), size)
             seen = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)]
-            by = np.lexsort((keys, seen, row))
+            by = np.lexsort((keys, _level(seen), row))
             keys, row, seen = keys[by], row[by], seen[by]
             first = np.cumsum(size) - size
             most = np.array([kept_of(x) for x in range(int(size.max(initial=0)) + 1)])[size]
@@ -274,11 +323,14 @@ def _select(shared: Broadcast):
     return run
 
 
-def _share_tiles(a: str, b: str) -> Column:
-    """Whether enough tiles can be common to both, from the tile bitmaps."""
+def _share_tiles(a: str, b: str, threshold: float) -> Column:
+    """Whether two texts that meet may be similar: by their tile bitmaps, or, where sizes are negative (prefixes of short texts), by the bound from their shingle bitmaps."""
     both = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.col(f"{b}_{w}"))) for w in _TILE_WORDS))
     size = [reduce(add, (F.bit_count(F.col(f"{x}_{w}")) for w in _TILE_WORDS)) for x in (a, b)]
-    return both >= F.lit(COMMON) * F.least(*size)
+    n = [F.abs(f"n{x}") for x in (a, b)]
+    most = F.least(n[0] - size[0], n[1] - size[1]) + both
+    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (n[0] + n[1]) - 1e-6)
+    return F.when(F.col(f"n{a}") < 0, most >= needed).otherwise(both >= F.lit(COMMON) * F.least(*size))
 
 
 def _bound(a: str, b: str) -> Column:
@@ -344,7 +396,7 @@ def _mark_bits(log2: int):
 
 def _marks(classes: DataFrame) -> np.ndarray | None:
     """A bit table that has every class in it, 16 bits a class; None if that would pass ``MARK_BITS_LOG2``."""
-    log2 = max(16, (16 * classes.count()).bit_length())
+    log2 = max(17, (16 * classes.count()).bit_length())
     if log2 > MARK_BITS_LOG2:
         return None
     table = np.zeros(((1 << log2) // 8 // _CHUNK, _CHUNK), np.uint8)
@@ -379,15 +431,18 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     spread = spark.sparkContext.broadcast
     counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u2", SHINGLE_SLOTS_LOG2)
-    features = materialize(rows.mapInArrow(_features(spread(counts)), _FEATURES))
+    features = materialize(rows.mapInArrow(_features(spread(counts), threshold), _FEATURES))
 
     classes = features.where("n IS NOT NULL")
     few = max(4, features.rdd.getNumPartitions() // 4)  # a counter table per task: few tasks for this quick pass
-    tile_counts = _gather(classes.select("keys").coalesce(few).mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2)
-    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(spread(np.minimum(tile_counts, 65535).astype(np.uint16))), _TILES)
+    tile_counts = _gather(classes.select("keys", F.slice("short", len(_TILE_WORDS) + 1, 1 << 20).alias("short")).coalesce(few).mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2, "<u1")
+    seen = spread(tile_counts)
+    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(seen), _TILES)
+    tiles = tiles.unionByName(classes.where("short IS NOT NULL").select("cls", "n", "short").mapInArrow(_short_tiles(seen), _TILES))
     a, b = (tiles.select("tile", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{x}_{w}") for w in _TILE_WORDS)) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
-    pairs = a.join(b, "tile").where(fits & _share_tiles("a", "b")).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
+    na, nb = F.abs("na"), F.abs("nb")
+    fits = (F.col("a") < F.col("b")) & (na >= F.lit(threshold) * nb) & (nb >= F.lit(threshold) * na)
+    pairs = a.join(b, "tile").where(fits & _share_tiles("a", "b", threshold)).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     pairs = materialize(pairs)
 
     both = _ends(pairs)
@@ -411,8 +466,12 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 def similar_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """chunk_a < chunk_b and their similarity, copies included."""
-    several = members.groupBy("cls").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("cls")
-    involved = several.union(_ends(links)).distinct()
+    name = F.xxhash64("id")
+    several = members.groupBy("cls").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x < y").select("cls")
+    involved = materialize(several.union(_ends(links)).distinct())
+    mark = _marks(involved)
+    if mark is not None:
+        members = members.mapInArrow(_marked(members.sparkSession.sparkContext.broadcast(mark)), "cls bigint, id string")
     m = materialize(members.join(involved, "cls", "left_semi").distinct())
     sizes = m.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     m = m.join(sizes.where("copies > 1"), "cls", "left")
