@@ -104,7 +104,7 @@ _URL = re.compile(r"^(?:https?:|/|\.|#|\w+/)|\.\w{2,4}$")
 
 def features(text: str, nodes: list[Node]) -> np.ndarray:
     """One row a node: its type and syntax, its content, and its place in the tree."""
-    rows = np.zeros((len(nodes), len(_NUMBER) + 27), np.float32)
+    rows = np.zeros((len(nodes), len(_NUMBER) + 28), np.float32)
     n_text = len(text)
     by_kind = {k: sum(n.kind == k for n in nodes) for k in KINDS}
     by_type: dict[str, int] = {}
@@ -124,18 +124,22 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
             "\n" in content, content[:1].isspace(), content[-1:].isspace(), content[:1].isdigit(), len(_OPS.findall(content)), len(_ATTR.findall(content)), min(3, content.count("|")),
             name in TAGS or name in COMMANDS or f"{n.name};" in html.entities.html5 or name.startswith("#") and n.type == "entity", bool(_URL.search(n.name)), len(n.name),
             bool(before) and (before.isalnum() or before in ":_\\."), before in ("", "\n"), after in ("", "\n", "\r"), after in ("\\", "/", "_") or after.isdigit(),
+            n.parent is not None and n.parent.type in OPAQUE and n.parent.closed and n.parent.kind != n.kind,
             n.depth, sum(c.end - c.start for c in n.children) / max(1, n.end - n.start), min(9, len(siblings)) if siblings else 0, min(9, by_kind[n.kind]), min(9, by_type[n.type]),
         )
     return rows
 
 
 def decode(roots: list[Node]) -> float:
-    """Choose the nodes of the best total log odds: a chosen opaque node takes all below it, and of overlapping siblings the better stays."""
+    """Choose the nodes of the best total log odds: a chosen opaque node takes all below it, and of overlapping siblings the better stays.
+
+    A closed opaque node is also chosen where it is surer than any single node below it: what it holds is its text.
+    """
     total = 0.0
     for n in roots:
         below = decode(n.children)
         take = n.odds + (_same_kind(n.children, n.kind) if n.type in OPAQUE else below)
-        if n.odds > 0 and take >= below:
+        if n.odds > 0 and (take >= below or (n.type in OPAQUE and n.closed and n.odds >= _strongest(n.children, n.kind))):
             n.chosen = True
             if n.type in OPAQUE:
                 _clear(n.children)
@@ -156,6 +160,11 @@ def decode(roots: list[Node]) -> float:
     return total
 
 
+def _strongest(nodes: list[Node], kind: str) -> float:
+    """The best log odds among nodes below of another kind than ``kind``."""
+    return max((max(n.odds if n.kind != kind else 0.0, _strongest(n.children, kind)) for n in nodes), default=0.0)
+
+
 def _same_kind(nodes: list[Node], kind: str) -> float:
     """What nodes below say for an opaque node of their own kind."""
     return sum((max(0.0, n.odds) if n.kind == kind else 0.0) + _same_kind(n.children, kind) for n in nodes)
