@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+_DECODER = json.JSONDecoder()
+
+
+def _json_objects_of(values: pd.Series) -> pd.Series:
+    return values.map(_json_objects)
 
 
 def parse_sse(line: Column) -> Column:
@@ -39,3 +49,40 @@ def assemble_calls(deltas: DataFrame, keys: list[str], order: str) -> DataFrame:
 def tagged(text: Column, tag: str) -> Column:
     """The contents of each ``<tag ...>...</tag>``; an unterminated one is left out."""
     return F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(?:\s[^<>]*)?>(.*?)</{tag}>"), F.lit(1))
+
+
+def _json_objects(s: str | None) -> list[str] | None:
+    out, at = [], 0
+    s = (s or "").strip()
+    while at < len(s):
+        try:
+            found, end = _DECODER.raw_decode(s, at)
+        except ValueError:
+            return None
+        if not isinstance(found, dict):
+            return None
+        out.append(s[at:end])
+        at = end
+        while at < len(s) and s[at].isspace():
+            at += 1
+    return out or None
+
+
+def split_json_objects(text: Column) -> Column:
+    """Back-to-back JSON objects as an array of texts; NULL if there is anything else. Objects may nest and hold braces in strings."""
+    return pandas_udf(_json_objects_of, "array<string>")(text)
+
+
+def file_tags(messages: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The n-th message of a key meets its n-th stored file: ``<file .../>`` is put before its content; data URLs give none."""
+    by = W.partitionBy(key).orderBy("pos")
+    a = messages.withColumn("_n", F.row_number().over(by))
+    b = stored.withColumn("_n", F.row_number().over(by)).select(key, "_n", "name", "url")
+    tag = F.when(F.col("url").isNull() | F.col("url").startswith("data:"), F.lit("")).otherwise(F.concat(F.lit('<file name="'), F.coalesce("name", F.lit("")), F.lit('" url="'), F.col("url"), F.lit('"/>\n')))
+    return a.join(b, [key, "_n"], "left").select(key, "pos", F.concat(tag, F.coalesce("content", F.lit(""))).alias("content"))
+
+
+def steps_of(workflows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Each workflow with its steps in order, none for a workflow without."""
+    listed = steps.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "agent_role"))).alias("steps"))
+    return workflows.join(listed, workflows["id"] == listed["workflow_id"], "left").select("id", "name", F.coalesce("steps", F.array().cast(listed.schema["steps"].dataType)).alias("steps"))

@@ -340,3 +340,23 @@ def tool_pairs_sanitize(spark: SparkSession, folder: str) -> DataFrame:
 def batch_totals(spark: SparkSession, folder: str) -> DataFrame:
     rows = _tasks(spark, folder)
     return rows.groupBy("knowledge_id").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_distinct("file_id").alias("n_files"), F.round(100 * F.count_if(F.col("status") == "completed") / F.count(F.lit(1))).alias("pct_done"), F.coalesce(F.sum("chunks_total"), F.lit(0)).cast("bigint").alias("chunks"))
+
+
+@query("""WITH m AS (SELECT user_id, event_id AS pos, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'error'),
+s AS (SELECT user_id, props AS name, CASE WHEN event_id % 3 = 0 THEN 'data:x' ELSE 'f/' || event_id END AS url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'purchase')
+SELECT m.user_id, m.pos, CASE WHEN url IS NULL OR starts_with(url, 'data:') THEN '' ELSE '<file name="' || coalesce(name, '') || '" url="' || url || '"/>' || chr(10) END || content AS content FROM m LEFT JOIN s ON s.user_id = m.user_id AND s.n = m.n""")
+def message_file_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's events as messages, their purchases as stored files, joined by position."""
+    e = t(spark, folder, "events")
+    said = e.where("event_type != 'error'").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("content"))
+    url = F.when(F.col("event_id") % 3 == 0, "data:x").otherwise(F.concat(F.lit("f/"), F.col("event_id")))
+    stored = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("pos"), F.col("props").alias("name"), url.alias("url"))
+    return M.file_tags(said, stored, "user_id")
+
+
+@query("SELECT k.id, k.name, coalesce(s.n, 0) AS n_steps, s.first_role FROM knowledge k LEFT JOIN (SELECT knowledge_id, count(*) AS n, arg_min(task_type, (created_at, id)) AS first_role FROM (SELECT DISTINCT knowledge_id, id, created_at, task_type FROM knowledge_processing_task) GROUP BY 1) s ON s.knowledge_id = k.id")
+def workflow_steps_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Knowledge bases as workflows, their tasks as steps in order of time."""
+    tasks = t(spark, folder, "knowledge_processing_task").select(F.col("knowledge_id").alias("workflow_id"), F.struct("created_at", "id").alias("order_index"), F.col("task_type").alias("agent_role")).distinct()
+    rows = M.steps_of(t(spark, folder, "knowledge").select("id", "name"), tasks)
+    return rows.select("id", "name", F.size("steps").cast("bigint").alias("n_steps"), F.get("steps", F.lit(0))["agent_role"].alias("first_role"))
