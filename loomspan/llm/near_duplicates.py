@@ -10,7 +10,8 @@ sequences, after lower-casing, replacing white space runs by a blank and trimmin
    letters and digits around its rarest shingles (other signs left out, so a changed separator
    does no harm; texts of mostly other signs have tiles of all signs, those in between both).
    The tiles are counted the same way and the rarer part of each text's tiles is kept, in
-   proportion to its length; a tile whose slot only one text uses has no partner and goes.
+   proportion to its length, and at least the ``SHARED`` rarest that may have a partner; a tile
+   whose slot only one text uses has none and goes.
    Each kept tile carries a small bitmap of all the text's tiles.
 3. Texts meet in tiles, in bands of size: only pairs whose sizes allow the threshold meet, and
    whose tile bitmaps have ``COMMON`` of the smaller one's bits in common.
@@ -61,9 +62,9 @@ TILE = 13
 THRESHOLD = 0.7
 SHINGLE_SLOTS_LOG2 = 20
 TILE_SLOTS_LOG2 = 24
-TILE_BITS = 192
+TILE_BITS = 256
 COMMON = 0.25
-USUAL = 32
+SHARED = 5
 SHORT = 128
 BITS = 1024
 EXPAND = 64
@@ -273,11 +274,6 @@ def block_tiles(cp: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarr
     return keys.view(np.int64), who
 
 
-def _level(seen: np.ndarray) -> np.ndarray:
-    """How common tiles are: 0 up to ``USUAL`` texts, then a level for each doubling. Within a level all texts prefer the same tiles, whether others share them or not."""
-    return np.ceil(np.log2(np.maximum(seen / USUAL, 1.0))).astype(np.int64)
-
-
 def _short_tiles(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, width = shared.value, len(_TILE_WORDS)
@@ -307,11 +303,13 @@ def _select(shared: Broadcast):
             keys = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(cls)), size)
             seen = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)]
-            by = np.lexsort((keys, _level(seen), row))
+            by = np.lexsort((keys, seen, row))
             keys, row, seen = keys[by], row[by], seen[by]
             first = np.cumsum(size) - size
             most = np.array([kept_of(x) for x in range(int(size.max(initial=0)) + 1)])[size]
-            keep = (np.arange(len(keys)) - first[row] < most[row]) & (seen > 1)
+            place = np.arange(len(keys)) - first[row]
+            alone = np.bincount(row, weights=seen < 2, minlength=len(cls))
+            keep = ((place < most[row]) | (place < alone[row] + SHARED)) & (seen > 1)
             bitmap = np.zeros((len(cls), TILE_BITS), bool)
             bitmap[row, (keys.view(np.uint64) >> np.uint64(8)) % np.uint64(TILE_BITS)] = True
             words = np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)

@@ -37,7 +37,9 @@ def test_against_brute_force(spark):
     members, links = N.similar_classes(df)
     got = [(x["chunk_a"], x["chunk_b"]) for x in N.similar_pairs(members, links).collect()]
     want = brute(rows)
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)  # long texts with a word in six edited may be missed
+    short = {i for i, t in rows if i and t and len(N.normalise(t)) <= N.SHORT}
+    assert {p for p in want if short & set(p)} <= set(got)  # short texts never
     parts = {x["id"]: x["group_id"] for x in N.groups(members, links).collect()}
     assert all(parts[a] == parts[b] for a, b in want) and parts["02-0"] != parts["03-0"] and "e2" not in parts
     big = N.similar_pairs(members, links, expand=2).collect()
