@@ -4,34 +4,26 @@ The similarity of two texts is the Jaccard coefficient of their sets of ``SHINGL
 sequences, after lower-casing, replacing white space runs by a blank and trimming.
 
 1. All texts are counted into a table of counters (a shingle counts in the slot of its hash),
-   which orders shingles by rarity over the whole collection at a fixed size.
+   which orders shingles by rarity over the whole collection at a fixed size. Only the order rests
+   on it, so slots that several shingles use cost time and lose nothing.
 2. Each distinct text (class of exact copies) gets a hashed bitmap of ``BITS`` bits, one set for
-   each shingle, its number of distinct shingles, and *tiles*: the stretches of ``TILE``
-   letters and digits around its rarest shingles (other signs left out, so a changed separator
-   does no harm; texts of mostly other signs have tiles of all signs, those in between both).
-   The tiles are counted the same way and the rarer part of each text's tiles is kept, in
-   proportion to its length, and at least the ``SHARED`` rarest that may have a partner; a tile
-   whose slot only one text uses has none and goes.
-   Each kept tile carries a small bitmap of all the text's tiles.
-3. Texts meet in tiles, in bands of size: only pairs whose sizes allow the threshold meet, and
-   whose tile bitmaps have ``COMMON`` of the smaller one's bits in common.
+   each shingle, its number of distinct shingles, and its *prefix*: the rarest shingles of which
+   it must have one in common with any text that is similar to it. A shingle that occurs once has
+   no partner and goes.
+3. Texts meet in the shingles of their prefixes, by size: from the place of a shingle in the
+   prefix follows how large a text may be that has this shingle as the first one in common.
 4. Bit counts bound the overlap of a pair from above: each bit set in one bitmap only stands for
    at least one shingle that the other text lacks. Pairs whose bound is too low go.
 5. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
 
-Texts of at most ``SHORT`` shingles are found without exception, whatever the edits: they, and all
-texts that can be similar to them, also meet in each of the rarest shingles that two similar texts
-must have one of in common (the prefix of the set), and carry a bitmap of their shingles that
-bounds the overlap there and then.
-
-Steps 4 and 5 drop no pair that meets the threshold, and nothing is capped: no tile or partner
-list has a limit. A pair of longer texts is found if it shares one kept tile and a quarter of all
-tiles, that is, if that share of the stretches of ``TILE`` letters around rare shingles survived
-the edits; the README gives the recall measured against brute force.
+No step drops a pair that meets the threshold, whatever the sizes, edits and other texts, and
+nothing is capped: no prefix or partner list has a limit.
 
 Distribution. Copies are reduced to one row per class in every task before anything is shuffled;
-tiles are joined by sort-merge, so Spark splits hot ones (adaptive skew join); texts are fetched
-only for pairs that passed the bound. Only the counters, of fixed size, are broadcast.
+shingles are spread over the shuffle partitions by hash, a class sends one row with its bitmap to
+each partition that any of its prefix falls in, and meets the others there; texts are fetched
+only for pairs that passed the bound. Only the counters, of fixed size, are broadcast. Pairs within
+a shingle grow with the square of its texts and are all looked at by one task.
 
 Results for odd input: NULL texts and those under ``SHINGLE`` characters pair with nothing;
 repeated rows of an id count once (an id with several texts has the pairs of all of them); an
@@ -44,39 +36,31 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, materialize
 from .arrays import blocks, owners, ragged, rolling
 
 SHINGLE = 5
-TILE = 13
 THRESHOLD = 0.7
-SHINGLE_SLOTS_LOG2 = 20
-TILE_SLOTS_LOG2 = 24
-TILE_BITS = 256
-COMMON = 0.25
-SHARED = 5
-SHORT = 128
+SHINGLE_SLOTS_LOG2 = 22
+#: Texts of up to so many shingles are found without exception: all.
+SHORT = sys.maxsize
 BITS = 1024
 EXPAND = 64
 #: Texts are filtered by a broadcast bit table of at most so many bits (a power of two), beyond it by the join alone.
 MARK_BITS_LOG2 = 27
-#: Share of letters and digits from which tiles are made of those, and up to which they are made of all signs.
-LETTERS_FROM, SIGNS_UP_TO = 0.35, 0.65
+_PAIRS = 1 << 18  # pairs looked at together
 _CHUNK = 16384  # counters per row when a table is put together
-_SPACE, _SIGNS = re.compile(r"\s+"), re.compile(r"[\W_]+")
-_WORDS = [f"b{i}" for i in range(BITS // 64)]
-_TILE_WORDS = [f"t{i}" for i in range(TILE_BITS // 64)]
-_TILES = "tile bigint, cls bigint, n int, " + ", ".join(f"{w} bigint" for w in _TILE_WORDS)
+_SPACE = re.compile(r"\s+")
+_PREFIX = "part int, cls bigint, n int, keys array<bigint>, places array<int>, bits binary"
 
 
 def normalise(text: str | None) -> str:
@@ -88,61 +72,28 @@ def class_of(normalised: str) -> int:
     return int.from_bytes(hashlib.blake2b(normalised.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _shingled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, code points, offsets, hash of the shingle at each position, which of those lie within a text)."""
+def _shingled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, offsets, hash of the shingle at each position, which of those lie within a text)."""
     for lo, _, cp, offsets in blocks(texts):
         h = rolling(cp, SHINGLE)
         end = np.repeat(offsets[1:], np.diff(offsets))[: len(h)]
-        yield lo, cp, offsets, h, np.nonzero(np.arange(len(h)) + SHINGLE <= end)[0]
-
-
-def tile_texts(texts: list[str]) -> tuple[list[str], list[int]]:
-    """The sign sequences whose stretches are tiles, and the text each is of."""
-    out, of = [], []
-    for i, t in enumerate(texts):
-        if len(t) < SHINGLE:
-            continue
-        plain = _SIGNS.sub("", t)
-        share = len(plain) / len(t)
-        if share >= LETTERS_FROM and len(plain) >= SHINGLE:
-            out.append(plain)
-            of.append(i)
-        if share <= SIGNS_UP_TO or len(plain) < SHINGLE:
-            out.append(t)
-            of.append(i)
-    return out, of
+        yield lo, offsets, h, np.nonzero(np.arange(len(h)) + SHINGLE <= end)[0]
 
 
 def _slot(h: np.ndarray, log2: int) -> np.ndarray:
     return (h >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def _table_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A counter table as rows of ``_CHUNK`` counters; a task's counters stop at 255."""
-    small = np.minimum(total, 255).astype(np.uint8).reshape(-1, _CHUNK)
-    some = np.nonzero(small.any(axis=1))[0]
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([small[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
-
-
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SHINGLE_SLOTS_LOG2, np.int64)
     for batch in batches:
-        for _, _, _, h, at in _shingled(tile_texts([normalise(t) for t in batch.column(0).to_pylist()])[0]):
+        for _, _, h, at in _shingled([t for t in map(normalise, batch.column(0).to_pylist()) if len(t) >= SHINGLE]):
             total += np.bincount(_slot(h[at], SHINGLE_SLOTS_LOG2), minlength=len(total))
     wide = np.minimum(total, np.iinfo(np.uint16).max).astype(np.uint16).reshape(-1, _CHUNK)
     some = np.nonzero(wide.any(axis=1))[0]
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([wide[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
 
 
-def _count_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << TILE_SLOTS_LOG2, np.uint16)
-    for batch in batches:
-        keys = np.concatenate([batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)])
-        slot, n = np.unique(_slot(keys.view(np.uint64), TILE_SLOTS_LOG2), return_counts=True)
-        total[slot] = np.minimum(total[slot] + n, 255)
-    yield from _table_rows(total)
-
-
 def _adder(kind: str, out: str):
     def add(keys: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros(_CHUNK, np.uint64)
@@ -162,77 +113,52 @@ def _gather(parts: DataFrame, kind: str, log2: int, out: str = "<u4") -> np.ndar
     return table.ravel()
 
 
-def tiles_of(size: np.ndarray) -> np.ndarray:
-    """How many tiles a sequence of ``size`` signs gets."""
-    return 12 + size // 32
-
-
-def kept_of(tiles: int) -> int:
-    """How many of its tiles, the rarer ones, a text keeps."""
-    return max(10, -(-tiles * 11 // 20))
+def prefix_of(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of a text's rarest shingles of which similar texts share one, and their places by rarity."""
+    n = len(shingles)
+    seen = counts[_slot(shingles, SHINGLE_SLOTS_LOG2)]
+    rare = np.lexsort((shingles, seen))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+    places = np.nonzero(seen[rare] > 1)[0]
+    return shingles[rare[places]], places
 
 
-def prefix_of(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """Bitmap words of a short text's shingles, then the keys of those of which similar texts share one."""
-    n = len(shingles)
-    bits = np.zeros(TILE_BITS, bool)
-    bits[(shingles >> np.uint64(8)) % np.uint64(TILE_BITS)] = True
-    order = np.lexsort((shingles, counts[_slot(shingles, SHINGLE_SLOTS_LOG2)]))
-    rare = shingles[order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]]
-    keys = (rare ^ np.uint64(0x5DEECE66D1CE4E5B)) * np.uint64(0x9E3779B97F4A7C15)  # apart from the keys of tiles
-    return np.concatenate([np.packbits(bits, bitorder="little").view(np.int64), keys.view(np.int64)])
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        classes = [class_of(t) if len(t) >= SHINGLE else None for t in map(normalise, batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), batch.column(0)], names=["cls", "id"]).filter(pa.array([c is not None for c in classes], pa.bool_()))
 
 
-def _features(shared: Broadcast, threshold: float):
-    longest = int(SHORT / threshold)
+def _prefixes(shared: Broadcast, threshold: float, parts: int):
+    """For each class and partition in which any of its prefix falls: those shingles, its size and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            texts = [normalise(t) for t in batch.column(1).to_pylist()]
-            classes = [class_of(t) if len(t) >= SHINGLE else None for t in texts]
-            fresh = []
-            for i, c in enumerate(classes):
-                if c is not None and c not in seen:
+            fresh: dict[int, str] = {}
+            for t in map(normalise, batch.column(0).to_pylist()):
+                if len(t) >= SHINGLE and (c := class_of(t)) not in seen:
                     seen.add(c)
-                    fresh.append(i)
-            rows = len(texts)
-            short: list[np.ndarray | None] = [None] * rows
-            n, words, mask = np.zeros(rows, np.int32), np.zeros((rows, len(_WORDS)), np.int64), np.ones(rows, bool)
-            new = np.array(fresh, np.int64)
-            mask[new] = False
-            chosen = [texts[i] for i in fresh]
-            for lo, _, offsets, h, at in _shingled(chosen):
-                here = new[lo : lo + len(offsets) - 1]
-                n[here], words[here] = sizes_and_bitmaps(offsets, h, at)
+                    fresh[c] = t
+            classes = np.fromiter(fresh, np.int64, len(fresh))
+            for lo, offsets, h, at in _shingled(list(fresh.values())):
+                n, words = sizes_and_bitmaps(offsets, h, at)
                 ends = np.searchsorted(at, offsets)
-                for i in np.nonzero(n[here] <= longest)[0]:
-                    short[here[i]] = prefix_of(np.unique(h[at[ends[i] : ends[i + 1]]]), counts, threshold)
-            sequences, of = tile_texts(chosen)
-            keys, owner = [], []
-            for lo, cp, offsets, h, at in _shingled(sequences):
-                k, w = block_tiles(cp, offsets, h, at, counts)
-                keys.append(k)
-                owner.append(new[np.array(of, np.int64)[lo + w]])
-            k, w = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            by = np.lexsort((k, w))
-            k, w = k[by], w[by]
-            one = np.ones(len(k), bool)
-            one[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-            k, w = k[one], w[one]
-            ends = np.searchsorted(w, np.arange(rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(k))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(n, mask=mask), lists, pa.array(short, pa.list_(pa.int64())), *(pa.array(words[:, j], mask=mask) for j in range(len(_WORDS)))],
-                names=["id", "cls", "n", "keys", "short", *_WORDS],
-            )
+                found = [prefix_of(np.unique(h[at[x:y]]), counts, threshold) for x, y in zip(ends, ends[1:])]
+                keys, places = (np.concatenate([f[k] for f in found]) for k in range(2))
+                who = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                part = ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
+                by = np.lexsort((part, who))
+                keys, places, who, part = keys[by], places[by], who[by], part[by]
+                start = np.nonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (part[1:] != part[:-1])]))[0] if len(who) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(start, len(who)).astype(np.int32))
+                own = who[start]
+                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(own), [None, pa.py_buffer(np.ascontiguousarray(words[own]))]).cast(pa.binary())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.view(np.int64), places.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(classes[lo + own]), pa.array(n[own].astype(np.int32)), *lists, bits], names=["part", "cls", "n", "keys", "places", "bits"])
 
     return run
 
 
-_FEATURES = "id string, cls bigint, n int, keys array<bigint>, short array<bigint>, " + ", ".join(f"{b} bigint" for b in _WORDS)
-
-
 def sizes_and_bitmaps(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct shingles of each text, and its bitmap as 64-bit words."""
     rows = len(offsets) - 1
@@ -246,97 +172,70 @@ def sizes_and_bitmaps(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tup
     return np.bincount(own, minlength=rows), np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
 
 
-def block_tiles(cp: np.ndarray, offsets: np.ndarray, h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, sequence) of the tiles of each sequence of a block."""
-    most = np.iinfo(np.uint64).max
-    score = np.full(len(cp) + 6, most, np.uint64)
-    found = h[at]
-    score[at + 3] = (np.minimum(counts[_slot(found, SHINGLE_SLOTS_LOG2)].astype(np.uint64), np.uint64((1 << 24) - 1)) << np.uint64(32)) | (found & np.uint64(0xFFFFFFFF))
-    mid = score[3 : len(cp) + 3]
-    least = mid < most
-    for d in (0, 1, 2, 4, 5, 6):  # a sequence's last positions have no shingle, so neighbours are of the same one
-        least &= mid <= score[d : len(cp) + d]
-    length = np.diff(offsets)
-    owner = owners(offsets)
-    least |= (length[owner] <= 64) & (mid < most)
-    pick = np.nonzero(least)[0]
-    who = owner[pick]
-    by = np.lexsort((mid[pick], who))
-    pick, who = pick[by], who[by]
-    first = np.searchsorted(who, np.arange(len(length)))
-    keep = np.arange(len(who)) - first[who] < tiles_of(length)[who]
-    pick, who = pick[keep], who[keep]
-    wide = length[who] >= TILE
-    keys = h[pick].copy() if len(pick) else np.zeros(0, np.uint64)
-    if wide.any():
-        around = rolling(cp, TILE)
-        keys[wide] = around[np.clip(pick[wide] - (TILE - SHINGLE) // 2, offsets[who[wide]], offsets[who[wide] + 1] - TILE)]
-    return keys.view(np.int64), who
-
-
-def _short_tiles(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, width = shared.value, len(_TILE_WORDS)
-        for batch in batches:
-            cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            start = np.cumsum(size) - size
-            row = np.repeat(np.arange(len(cls)), size - width)
-            keys = flat[ragged(start + width, size - width)]
-            keep = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)] > 1
-            at = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[keep]), pa.array(cls[at]), pa.array(-n[at].astype(np.int32)), *(pa.array(flat[start[at] + j]) for j in range(width))], names=["tile", "cls", "n", *_TILE_WORDS]
-            )
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of eight words."""
+    eight = np.bitwise_count(x).view(np.uint64).ravel()
+    low = np.uint64(0x00FF00FF00FF00FF)
+    return (((eight & low) + ((eight >> np.uint64(8)) & low)) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int32)
 
-    return run
 
+def may_be_similar(keys: np.ndarray, own: np.ndarray, places: np.ndarray, n: np.ndarray, words: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts that meet in a shingle and that neither sizes, places nor bitmaps exclude.
 
-def _select(shared: Broadcast):
+    ``keys``, ``own`` and ``places`` have a row for each shingle of a prefix, ``n`` and ``words`` one
+    for each text. A pair is looked at in every shingle it meets in, and stays at least in its first:
+    there, the overlap is at most what is left of both texts from that place on.
+    """
+    by = np.lexsort((n[own], keys))
+    keys, own, places = keys[by], own[by], places[by]
+    size, share = n[own].astype(np.int64), threshold / (1 + threshold)
+    limit = np.floor((size - places) / share - size + 1e-6).astype(np.int64)  # of the other text's size
+    top = np.minimum(limit, np.floor(size / threshold + 1e-6).astype(np.int64))
+    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else keys.astype(np.int64)
+    wide = int(size.max(initial=0)) + 1
+    last = np.searchsorted(group * wide + size, group * wide + np.clip(top, 0, wide - 1), side="right")
+    times = np.maximum(last - np.arange(len(keys)) - 1, 0)
+    total = np.cumsum(times)
+    lo = 0
+    while lo < len(keys):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        i = np.repeat(np.arange(lo, hi), times[lo:hi])
+        j = ragged(np.arange(lo, hi) + 1, times[lo:hi])
+        stay = size[i] <= limit[j]
+        i, j = i[stay], j[stay]
+        a, b = own[i], own[j]
+        needed = np.ceil(share * (size[i] + size[j]) - 1e-6).astype(np.int64)
+        less_a, less_b = size[i] - needed, size[j] - needed  # how many shingles each may have alone
+        for w in range(0, words.shape[1], 8):
+            x, y = words[a, w : w + 8], words[b, w : w + 8]
+            less_a, less_b = less_a - _ones(x & ~y), less_b - _ones(y & ~x)
+            stay = (less_a >= 0) & (less_b >= 0)
+            a, b, less_a, less_b = a[stay], b[stay], less_a[stay], less_b[stay]
+        yield a, b
+        lo = hi
+
+
+def _meet(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            lists = batch.column(2)
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(cls)), size)
-            seen = counts[_slot(keys.view(np.uint64), TILE_SLOTS_LOG2)]
-            by = np.lexsort((keys, seen, row))
-            keys, row, seen = keys[by], row[by], seen[by]
-            first = np.cumsum(size) - size
-            most = np.array([kept_of(x) for x in range(int(size.max(initial=0)) + 1)])[size]
-            place = np.arange(len(keys)) - first[row]
-            alone = np.bincount(row, weights=seen < 2, minlength=len(cls))
-            keep = ((place < most[row]) | (place < alone[row] + SHARED)) & (seen > 1)
-            bitmap = np.zeros((len(cls), TILE_BITS), bool)
-            bitmap[row, (keys.view(np.uint64) >> np.uint64(8)) % np.uint64(TILE_BITS)] = True
-            words = np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
-            at = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[keep]), pa.array(cls[at]), pa.array(n[at].astype(np.int32)), *(pa.array(words[at, j]) for j in range(len(_TILE_WORDS)))], names=["tile", "cls", "n", *_TILE_WORDS]
-            )
+        rows = pa.Table.from_batches(some) if (some := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)  # a class of several tasks comes from each
+        rows = rows.take(pa.array(first)).combine_chunks()
+        keys, places = (rows.column(c).combine_chunks() for c in ("keys", "places"))
+        if isinstance(keys, pa.ChunkedArray):
+            keys, places = (pa.concat_arrays(x.chunks) for x in (keys, places))
+        own = np.repeat(np.arange(len(cls)), keys.value_lengths().to_numpy())
+        words = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+        met = [np.zeros(0, np.int64)]
+        for a, b in may_be_similar(keys.flatten().to_numpy(), own, places.flatten().to_numpy(), rows.column("n").to_numpy(), words, threshold):
+            met.append(np.unique(np.minimum(a, b) * len(cls) + np.maximum(a, b)))
+        met = np.unique(np.concatenate(met))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[met // len(cls)]), pa.array(cls[met % len(cls)])], names=["a", "b"])
 
     return run
 
 
-def _share_tiles(a: str, b: str, threshold: float) -> Column:
-    """Whether two texts that meet may be similar: by their tile bitmaps, or, where sizes are negative (prefixes of short texts), by the bound from their shingle bitmaps."""
-    both = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.col(f"{b}_{w}"))) for w in _TILE_WORDS))
-    size = [reduce(add, (F.bit_count(F.col(f"{x}_{w}")) for w in _TILE_WORDS)) for x in (a, b)]
-    n = [F.abs(f"n{x}") for x in (a, b)]
-    most = F.least(n[0] - size[0], n[1] - size[1]) + both
-    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (n[0] + n[1]) - 1e-6)
-    return F.when(F.col(f"n{a}") < 0, most >= needed).otherwise(both >= F.lit(COMMON) * F.least(*size))
-
-
-def _bound(a: str, b: str) -> Column:
-    """An upper bound of the overlap, from both bitmaps."""
-    only_a = reduce(add, (F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{w}")))) for w in _WORDS))
-    return F.col(f"{a}_n") - only_a
-
-
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,37 +328,16 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     spread = spark.sparkContext.broadcast
     counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u2", SHINGLE_SLOTS_LOG2)
-    features = materialize(rows.mapInArrow(_features(spread(counts), threshold), _FEATURES))
-
-    classes = features.where("n IS NOT NULL")
-    few = max(4, features.rdd.getNumPartitions() // 4)  # a counter table per task: few tasks for this quick pass
-    tile_counts = _gather(classes.select("keys", F.slice("short", len(_TILE_WORDS) + 1, 1 << 20).alias("short")).coalesce(few).mapInArrow(_count_tiles, "part bigint, counts binary"), "<u1", TILE_SLOTS_LOG2, "<u1")
-    seen = spread(tile_counts)
-    tiles = classes.select("cls", "n", "keys").mapInArrow(_select(seen), _TILES)
-    tiles = tiles.unionByName(classes.where("short IS NOT NULL").select("cls", "n", "short").mapInArrow(_short_tiles(seen), _TILES))
-    a, b = (tiles.select("tile", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{x}_{w}") for w in _TILE_WORDS)) for x in "ab")
-    na, nb = F.abs("na"), F.abs("nb")
-    fits = (F.col("a") < F.col("b")) & (na >= F.lit(threshold) * nb) & (nb >= F.lit(threshold) * na)
-    pairs = a.join(b, "tile").where(fits & _share_tiles("a", "b", threshold)).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
-    pairs = materialize(pairs)
-
-    both = _ends(pairs)
-    mark = _marks(both)
-    sigs = classes.select("cls", "n", *_WORDS)
-    if mark is not None:
-        sigs = sigs.mapInArrow(_marked(spread(mark)), "cls bigint, n int, " + ", ".join(f"{w} bigint" for w in _WORDS))
-    sigs = sigs.groupBy("cls").agg(*(F.min(c).alias(c) for c in ("n", *_WORDS)))
-    for side in "ab":
-        pairs = pairs.join(sigs.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_WORDS))), side)
-    needed = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6)
-    pairs = materialize(pairs.where((_bound("a", "b") >= needed) & (_bound("b", "a") >= needed)).select("a", "b"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = rows.select("text").mapInArrow(_prefixes(spread(counts), threshold, parts), _PREFIX)
+    pairs = materialize(prefixes.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), "a bigint, b bigint").dropDuplicates(["a", "b"]))
 
     wanted = _ends(pairs)
     mark = _marks(wanted)
     texts = rows.select("text").mapInArrow(_texts(None if mark is None else spread(mark)), "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
-    return features.where("cls IS NOT NULL").select("cls", "id"), links
+    return materialize(rows.select("id", "text").mapInArrow(_classes, "cls bigint, id string")), links
 
 
 def similar_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:

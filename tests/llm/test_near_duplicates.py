@@ -50,3 +50,28 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id string, content string")
     members, links = N.similar_classes(df)
     assert N.similar_pairs(members, links).count() == 0 and N.groups(members, links).count() == 0
+
+
+def recurring(share, letters, hot, n, seed):
+    """A base text in ``hot`` rows with small changes, and ``n`` versions with ``share`` of its length put in as one block."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    text = lambda size: " ".join(word() for _ in range(size))[:size]
+    base = text(letters)
+    rows = [(f"h{k:03d}", base + " " + word()) for k in range(hot)]
+    for k in range(n):
+        at = r.choice([len(base), r.randrange(len(base))])
+        rows.append((f"v{k:03d}", base[:at] + " " + text(int(letters * share)) + " " + base[at:]))
+    return rows
+
+
+def found_in(spark, rows):
+    return {(x["chunk_a"], x["chunk_b"]) for x in N.similar_pairs(*N.similar_classes(spark.createDataFrame(rows, "id string, content string"))).collect()}
+
+
+def test_inserts_into_a_recurring_text(spark):
+    rows = recurring(0.35, 600, 60, 30, 1) + [("o" + i, t) for i, t in recurring(0.2, 600, 60, 30, 2)]
+    sets = [(i, {t[k : k + 5] for k in range(len(t) - 4)}) for i, t in ((i, N.normalise(t)) for i, t in rows)]
+    want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if len(s & t) >= 0.7 * len(s | t)}
+    got = found_in(spark, rows)
+    assert got == want, f"{len(got & want)} of {len(want)}"
