@@ -65,13 +65,24 @@ def recurring(share, letters, hot, n, seed):
     return rows
 
 
+def similar(rows):
+    sets = [(i, {t[k : k + 5] for k in range(len(t) - 4)}) for i, t in ((i, N.normalise(t)) for i, t in rows)]
+    return {(min(a, b), max(a, b)) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if len(s & t) >= 0.7 * len(s | t)}
+
+
 def found_in(spark, rows):
     return {(x["chunk_a"], x["chunk_b"]) for x in N.similar_pairs(*N.similar_classes(spark.createDataFrame(rows, "id string, content string"))).collect()}
 
 
 def test_inserts_into_a_recurring_text(spark):
     rows = recurring(0.35, 600, 60, 30, 1) + [("o" + i, t) for i, t in recurring(0.2, 600, 60, 30, 2)]
-    sets = [(i, {t[k : k + 5] for k in range(len(t) - 4)}) for i, t in ((i, N.normalise(t)) for i, t in rows)]
-    want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if len(s & t) >= 0.7 * len(s | t)}
+    want = similar(rows)
     got = found_in(spark, rows)
     assert got == want, f"{len(got & want)} of {len(want)}"
+
+
+def test_longer_texts_have_no_quota(spark):
+    rows = recurring(0.42, 1000, 30, 20, 3) + recurring(0.35, 2000, 30, 20, 4)
+    rows = [(f"{k:03d}{i}", t) for k, (i, t) in enumerate(rows)]
+    got, want = found_in(spark, rows), similar(rows)
+    assert got == want, f"{len(got & want)} of {len(want)}"
