@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from loomspan.llm import near_duplicates as N
 
 
@@ -86,3 +88,23 @@ def test_longer_texts_have_no_quota(spark):
     rows = [(f"{k:03d}{i}", t) for k, (i, t) in enumerate(rows)]
     got, want = found_in(spark, rows), similar(rows)
     assert got == want, f"{len(got & want)} of {len(want)}"
+
+
+def test_bounds_drop_no_similar_pair():
+    texts = [N.normalise(t) for _, t in recurring(0.35, 600, 20, 20, 5) + recurring(0.42, 1500, 10, 10, 6)]
+    counts = np.full(1 << N.SHINGLE_SLOTS_LOG2, 2)  # all slots alike: the worst order
+    ((_, offsets, h, at),) = N._shingled(texts)
+    sizes, words = N.sizes_and_bitmaps(offsets, h, at)
+    sets = [np.unique(h[at[(at >= x) & (at < y)]]) for x, y in zip(offsets, offsets[1:])]
+    found = [N.prefix_of(s, counts, 0.7) for s in sets]
+    own = np.repeat(np.arange(len(sets)), [len(k) for k, _ in found])
+    got = set()
+    for a, b in N.may_be_similar(np.concatenate([k for k, _ in found]), own, np.concatenate([p for _, p in found]), sizes, words.view(np.uint64), 0.7):
+        got |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    want = set()
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(s, sets[j]))
+            if both >= 0.7 * (len(s) + len(sets[j]) - both):
+                want.add((j, i))
+    assert want and want <= got
