@@ -47,10 +47,11 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     """The ``k`` items of the highest cosine for each query (itself left out), ties by id: query_id, item_id, score, rank.
 
     Queries go in blocks of bounded size against all items; every batch of items keeps its own
-    best ``k`` a query before the final ranking. Vectors of another length, or NULL, rank nowhere.
+    best ``k`` a query before the final ranking. A query meets the items of its own vector length;
+    vectors that are empty or NULL, and rows without an id, rank nowhere. Rows that repeat an id all count.
     """
-    rows = items.select(F.col(id_col).cast("bigint"), F.col(group).cast("bigint"), vector)
-    wanted = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(group).cast("bigint").alias("g"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    rows = items.select(F.col(id_col).cast("bigint"), F.col(group).cast("bigint"), vector).where(F.col(id_col).isNotNull())
+    wanted = queries.select(F.col(id_col).cast("bigint").alias("q"), F.col(group).cast("bigint").alias("g"), F.col(vector).alias("v")).where("q IS NOT NULL AND size(v) > 0")
     parts: list[DataFrame] = []
     last = None
     while True:  # one bounded block of queries at a time
@@ -58,10 +59,12 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         if not block:
             break
         last = block[-1]["q"]
-        size = max(len(r["v"]) for r in block)
-        block = [r for r in block if len(r["v"]) == size]
-        run = _block_topk(np.array([r["q"] for r in block]), np.array([-1 if r["g"] is None else r["g"] for r in block]), np.array([r["v"] for r in block], np.float64), k, same_group)
-        parts.append(rows.mapInArrow(run, "query_id bigint, item_id bigint, score double"))
+        if len(block) == QUERY_BLOCK:  # more rows of the last id may follow
+            block = [r for r in block if r["q"] != last] + wanted.where(F.col("q") == last).collect()
+        for size in sorted({len(r["v"]) for r in block}):
+            alike = [r for r in block if len(r["v"]) == size]
+            run = _block_topk(np.array([r["q"] for r in alike]), np.array([-1 if r["g"] is None else r["g"] for r in alike]), np.array([r["v"] for r in alike], np.float64), k, same_group)
+            parts.append(rows.mapInArrow(run, "query_id bigint, item_id bigint, score double"))
     if not parts:
         return rows.select(F.col(id_col).alias("query_id"), F.col(id_col).alias("item_id"), F.lit(0.0).alias("score"), F.lit(1).cast("bigint").alias("rank")).where("false")
     found = parts[0]

@@ -74,6 +74,17 @@ def test_vector_topk_in_blocks(spark, monkeypatch):
     assert retrieval.vector_topk(df, df.where("false")).count() == 0
 
 
+
+def test_vector_topk_skips_no_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.5]), (2, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 1.0, 0.0]), (None, [1.0, 0.0]), (6, [])]
+    df = spark.createDataFrame([(*x, 0) for x in vectors], "vec_id bigint, embedding array<float>, label int")
+    got = {(r["query_id"], r["item_id"]) for r in retrieval.vector_topk(df, df, k=9).collect()}
+    assert got == {(a, b) for ids in ((1, 2, 4), (3, 5)) for a in ids for b in ids if a != b}
+    repeats = [r["score"] for r in retrieval.vector_topk(df, df.where("vec_id = 2"), k=9).where("item_id = 4").collect()]
+    assert len(repeats) == 3
+
+
 def test_metrics_with_nulls(spark):
     rows = [("k", "q", None, 0, 1), ("k", "q", "c", 2, 1), ("k", "q", "c", 2, 1), ("k", "p", "d", 1, 0)]
     df = spark.createDataFrame(rows, "knowledge_id string, query_text string, chunk_id string, rank_position bigint, relevance bigint")
