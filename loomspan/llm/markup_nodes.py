@@ -43,8 +43,8 @@ TYPES = {
     "command": ("latex", re.compile(r"\\(?P<name>[a-zA-Z]+)\*?(?P<in>(?:\[[^\[\]\n]*\])?(?:\{(?:[^{}\n]|\{[^{}\n]*\})*\})*)(?P<end>)")),
     "cutcommand": ("latex", re.compile(r"\\(?P<name>[a-zA-Z]+)\{(?P<in>[^{}\n]*)\Z")),
     "display": ("latex", re.compile(r"\$\$(?P<in>[^$]+)(?:(?P<end>\$\$)|\$?\Z)")),
-    "inline": ("latex", re.compile(r"(?<![\\$])\$(?=(?P<in>[^$\n]{1,300})(?P<end>\$)(?!\$))")),
-    "cutinline": ("latex", re.compile(r"(?<![\\$])\$(?P<in>[^$\n]{1,80})\Z")),
+    "inline": ("latex", re.compile(r"(?<![\\$])\$(?=(?P<in>[^$\n]+)(?P<end>\$)(?!\$))")),
+    "cutinline": ("latex", re.compile(r"(?<![\\$])\$(?P<in>[^$\n]+)\Z")),
     "paren": ("latex", re.compile(r"\\(?P<name>[(\[])(?P<in>.+?)(?:(?P<end>\\[)\]])|\Z)", _S)),
 }
 OPAQUE = frozenset({"comment", "code", "fence", "display", "inline", "paren", "template"})

@@ -38,6 +38,16 @@ def test_clean_keeps_structure(model):
     assert {"heading", "code", "formula"} <= {b[0] for b in blocks} and all(0 <= a < z <= len(out) for _, a, z in blocks)
 
 
+
+def test_long_formulas(model):
+    body = " + ".join(f"\\frac{{a_{{{k}}}}}{{b_{{{k}}}^2}}" for k in range(40))
+    for text in (f"We have $x = {body}$ in all.", f"We have $x = {body}"):
+        nodes = M.chosen_nodes(text, model)
+        assert any(n.type in ("inline", "cutinline") for n in nodes) and M.kinds_of(nodes) == ["latex"]
+        out, blocks = M.clean(text, nodes)
+        assert "\\frac{a_{0}}{b_{0}^2}" in out and "formula" in {b[0] for b in blocks}
+
+
 def test_opaque_nodes_take_what_is_inside(model):
     chosen = M.chosen_nodes("```\n<b>x</b> [[y]]\n```\n", model)
     assert {n.type for n in chosen} == {"fence"}
