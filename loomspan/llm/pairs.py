@@ -36,6 +36,8 @@ from .pair_phrases import ASKED, CLOSINGS, HEDGES, PLACEHOLDERS, REFUSALS
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 SAMPLE = 6000
+#: Distinct sentences of the sample's answers, and of its questions, at most, that the sentence model is fitted on.
+CONTENT_SENTENCES, QUESTION_SENTENCES = 2600, 300
 SEED = 5
 GRAM_DIMS, SENTENCE_DIMS = 512, 2048
 
@@ -334,7 +336,7 @@ def synthesise(clean: list[tuple[str, str, str]], seed: int = SEED) -> tuple[lis
 
 
 def fit_sentences(clean: list[tuple[str, str, str]]) -> Linear:
-    """Columns: refusal, closing. The sample's sentences are content; those that look like refusals are left out of a second fit."""
+    """Columns: refusal, closing. The sample's sentences are content (at most ``CONTENT_SENTENCES`` of answers and ``QUESTION_SENTENCES`` of questions, chosen at random); those that look like refusals are left out of a second fit."""
     r = random.Random(SEED)
     texts = [s for x in L.LANGS for p in REFUSALS[x] for s in sentences(p)]
     ends = [s for x in L.LANGS for p in CLOSINGS[x] for s in sentences(p)]
@@ -345,7 +347,7 @@ def fit_sentences(clean: list[tuple[str, str, str]]) -> Linear:
     questions = sorted({bare(s) for q, _, _ in clean for s in sentences(q)})
     r.shuffle(content)
     r.shuffle(questions)
-    content = content[:2600] + questions[:300]
+    content = content[:CONTENT_SENTENCES] + questions[:QUESTION_SENTENCES]
 
     fixed = sentence_matrix([*texts, *ends, *hedges])
     rows = sentence_matrix(content)

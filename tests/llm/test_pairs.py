@@ -68,3 +68,10 @@ def test_tables(spark, model):
 def test_training_on_an_empty_table(spark):
     rows = spark.createDataFrame([], "origin string, pair_id string, question string, answer string")
     assert P.classify([("What is it?", None)], P.train(rows))[0][0] == "empty"
+
+
+def test_bounds_of_the_sentence_model_are_named():
+    from loomspan.llm import pairs
+
+    assert (pairs.CONTENT_SENTENCES, pairs.QUESTION_SENTENCES) == (2600, 300)
+    assert "CONTENT_SENTENCES" in pairs.fit_sentences.__doc__
