@@ -3,41 +3,44 @@
 The similarity of two texts is the Jaccard coefficient of their sets of ``SHINGLE``-character
 sequences, after lower-casing, replacing white space runs by a blank and trimming.
 
-1. All texts are counted into a table of counters (a shingle counts in the slot of its hash),
-   which orders shingles by rarity over the whole collection at a fixed size. Only the order rests
-   on it, so slots that several shingles use cost time and lose nothing.
-2. Each distinct text (class of exact copies) gets a hashed bitmap of ``BITS`` bits, one set for
-   each shingle, its number of distinct shingles, and its *prefix*: the rarest shingles of which
-   it must have one in common with any text that is similar to it. A shingle that occurs once has
-   no partner and goes.
-3. Texts meet in the shingles of their prefixes, by size: from the place of a shingle in the
-   prefix follows how large a text may be that has this shingle as the first one in common.
-4. Bit counts bound the overlap of a pair from above: each bit set in one bitmap only stands for
-   at least one shingle that the other text lacks. Pairs whose bound is too low go.
-5. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
-
-No step drops a pair that meets the threshold, whatever the sizes, edits and other texts, and
-nothing is capped: no prefix or partner list has a limit.
-
-Distribution. Copies are reduced to one row per class in every task before anything is shuffled;
-shingles are spread over the shuffle partitions by hash, a class sends one row with its bitmap to
-each partition that any of its prefix falls in, and meets the others there; texts are fetched
-only for pairs that passed the bound. Only the counters, of fixed size, are broadcast. Pairs within
-a shingle grow with the square of its texts and are all looked at by one task.
+1. Each distinct text (class of exact copies) gets the smallest hash of its shingles in each of
+   ``BANDS * ROWS`` bins (an empty bin takes the value of another one, drawn by a fixed rule), so
+   that two texts agree in a bin with a probability equal to their similarity, whatever the
+   edits, the order of the parts and the lengths are.
+2. Texts that agree in all ``ROWS`` bins of a band meet in its *tile*. A tile is sorted by size;
+   a text meets only those in its size band (no pair at the threshold is outside of it), and only
+   if at least ``AGREE`` of ``NIBBLES`` four-bit values, taken from the bins after the band, are equal.
+   A tile of more than ``TILE`` texts is cut by size into several, and compatible pairs of those
+   are compared by other tasks.
+3. Texts that met get a hashed bitmap of ``BITS`` bits, one set for each shingle. Bit counts bound
+   the overlap of a pair from above: each bit set in one bitmap only stands for at least one
+   shingle that the other text lacks. Pairs whose bound is too low go.
+4. The rest is decided exactly by intersecting the sorted shingle arrays of both texts.
+
+What is lost. Steps 3 and 4 and the size band lose nothing. A pair of similarity s fails a band with
+probability 1 - s^ROWS * P(at least AGREE of NIBBLES agree), and all of them with that to the power of
+``BANDS``: ``miss(0.7)`` is 2.5e-6, ``miss(0.75)`` 7e-9. It depends on nothing but s: neither on
+length, edits, frequency of shingles nor on the number of texts, and nothing is capped.
+
+Distribution. Copies are reduced to one row per class in every task before anything is shuffled. A
+task sends each partition one binary row for some thousand texts, 26 bytes for each text and band
+(their number is chosen by the number of rows). Bitmaps are made and shuffled for texts that met,
+texts are fetched for pairs that passed the bound. Only marks of fixed size are broadcast.
 
 Results for odd input: NULL texts and those under ``SHINGLE`` characters pair with nothing;
 repeated rows of an id count once (an id with several texts has the pairs of all of them); an
 empty table gives no rows. Copies of one text are pairs of similarity 1: all of them in classes up
 to ``EXPAND`` members; a larger class is given by pairs of its representative (smallest id) with
-each copy, and only its representative is paired with other texts.
+each copy, and only its representative is paired with other texts (``memberships`` gives every
+id with its class).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +53,32 @@ from .arrays import blocks, owners, ragged, rolling
 
 SHINGLE = 5
 THRESHOLD = 0.7
-SHINGLE_SLOTS_LOG2 = 22
-#: Texts of up to so many shingles are found without exception: all.
-SHORT = sys.maxsize
+BANDS = 48
+ROWS = 4
+NIBBLES = 24
+AGREE = 13
+TILE = 16384
 BITS = 1024
 EXPAND = 64
 #: Texts are filtered by a broadcast bit table of at most so many bits (a power of two), beyond it by the join alone.
 MARK_BITS_LOG2 = 27
+_BINS = BANDS * ROWS
+_ROW_BITS = 12  # texts of a block, so that each hash keeps 52 bits
 _PAIRS = 1 << 18  # pairs looked at together
-_CHUNK = 16384  # counters per row when a table is put together
+_CHUNK = 16384  # bytes per row when a table is put together
+_PART_BYTES = 64 << 20  # of tile rows in a partition, about
 _SPACE = re.compile(r"\s+")
-_PREFIX = "part int, cls bigint, n int, keys array<bigint>, places array<int>, bits binary"
+_MEMBER = np.dtype([("key", "<u4"), ("size", "<u2"), ("cls", "<i8"), ("low", "<u8"), ("high", "<u4")])
+_SIZE_STEPS = 2000  # size codes in a factor of e
+#: Bins an empty bin looks into, in order: a fixed random order for each.
+_DONORS = np.stack([np.random.default_rng(b).permutation(_BINS) for b in range(_BINS)])
+
+
+def miss(similarity: float) -> float:
+    """Probability that a pair of this similarity meets in no tile."""
+    equal = similarity + (1 - similarity) / 16
+    kept = sum(comb(NIBBLES, k) * equal**k * (1 - equal) ** (NIBBLES - k) for k in range(AGREE, NIBBLES + 1))
+    return (1 - similarity**ROWS * kept) ** BANDS
 
 
 def normalise(text: str | None) -> str:
@@ -74,65 +92,83 @@ def class_of(normalised: str) -> int:
 
 def _shingled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, offsets, hash of the shingle at each position, which of those lie within a text)."""
-    for lo, _, cp, offsets in blocks(texts):
-        h = rolling(cp, SHINGLE)
-        end = np.repeat(offsets[1:], np.diff(offsets))[: len(h)]
-        yield lo, offsets, h, np.nonzero(np.arange(len(h)) + SHINGLE <= end)[0]
+    for base in range(0, len(texts), 1 << _ROW_BITS):
+        for lo, _, cp, offsets in blocks(texts[base : base + (1 << _ROW_BITS)]):
+            h = rolling(cp, SHINGLE)
+            end = np.repeat(offsets[1:], np.diff(offsets))[: len(h)]
+            yield base + lo, offsets, h, np.nonzero(np.arange(len(h)) + SHINGLE <= end)[0]
 
 
 def _slot(h: np.ndarray, log2: int) -> np.ndarray:
     return (h >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SHINGLE_SLOTS_LOG2, np.int64)
-    for batch in batches:
-        for _, _, h, at in _shingled([t for t in map(normalise, batch.column(0).to_pylist()) if len(t) >= SHINGLE]):
-            total += np.bincount(_slot(h[at], SHINGLE_SLOTS_LOG2), minlength=len(total))
-    wide = np.minimum(total, np.iinfo(np.uint16).max).astype(np.uint16).reshape(-1, _CHUNK)
-    some = np.nonzero(wide.any(axis=1))[0]
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([wide[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
-
-
-def _adder(kind: str, out: str):
-    def add(keys: tuple, group: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK, np.uint64)
-        for x in group.column("counts").to_pylist():
-            total += np.frombuffer(x, kind)
-        some = np.minimum(total, np.iinfo(out).max).astype(out)
-        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([some.tobytes()], pa.binary())})
-
-    return add
-
-
-def _gather(parts: DataFrame, kind: str, log2: int, out: str = "<u4") -> np.ndarray:
-    """The sum of counter tables; its size is fixed, counters stop at what ``out`` holds."""
-    table = np.zeros(1 << log2, out).reshape(-1, _CHUNK)
-    for r in parts.groupBy("part").applyInArrow(_adder(kind, out), "part bigint, counts binary").toLocalIterator():
-        table[r["part"]] = np.frombuffer(r["counts"], out)
-    return table.ravel()
-
-
-def prefix_of(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those of a text's rarest shingles of which similar texts share one, and their places by rarity."""
-    n = len(shingles)
-    seen = counts[_slot(shingles, SHINGLE_SLOTS_LOG2)]
-    rare = np.lexsort((shingles, seen))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-    places = np.nonzero(seen[rare] > 1)[0]
-    return shingles[rare[places]], places
-
-
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         classes = [class_of(t) if len(t) >= SHINGLE else None for t in map(normalise, batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), batch.column(0)], names=["cls", "id"]).filter(pa.array([c is not None for c in classes], pa.bool_()))
 
 
-def _prefixes(shared: Broadcast, threshold: float, parts: int):
-    """For each class and partition in which any of its prefix falls: those shingles, its size and bitmap."""
+def distinct_hashes(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 52 bits of the hash) of all distinct shingles of a block, by text and hash."""
+    both = np.sort((owners(offsets)[at].astype(np.uint64) << np.uint64(64 - _ROW_BITS)) | (h[at] >> np.uint64(_ROW_BITS)))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    return (both >> np.uint64(64 - _ROW_BITS)).astype(np.int64), both & np.uint64((1 << (64 - _ROW_BITS)) - 1)
+
+
+def bitmaps(rows: int, own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of each text as 64-bit words."""
+    bitmap = np.zeros((rows, BITS), bool)
+    bitmap[own, (hashes >> np.uint64(64 - _ROW_BITS - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bitmap, axis=1, bitorder="little").view(np.uint64)
+
+
+def bin_values(rows: int, own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A value for each text and bin; each text has a shingle."""
+    bins = ((hashes >> np.uint64(32 - _ROW_BITS)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.nonzero(np.concatenate([[True], (bins[1:] != bins[:-1]) | (own[1:] != own[:-1])]))[0]
+    values, filled = np.zeros((rows, _BINS), np.uint32), np.zeros((rows, _BINS), bool)
+    mixed = hashes[first] * np.uint64(0x9E3779B97F4A7C15)
+    values[own[first], bins[first]] = (mixed >> np.uint64(32)).astype(np.uint32)
+    filled[own[first], bins[first]] = True
+    row, col = np.nonzero(~filled)
+    for step in range(_BINS):
+        if not len(row):
+            break
+        donor = _DONORS[col, step]
+        ready = filled[row, donor]
+        values[row[ready], col[ready]] = values[row[ready], donor[ready]]
+        row, col = row[~ready], col[~ready]
+    return values
+
+
+def tile_members(classes: np.ndarray, sizes: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partition and row of each text and band, in the order of partitions."""
+    n = len(classes)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (n, BANDS)).copy()
+    for k in range(ROWS):
+        key = (key ^ values[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32).ravel()
+    low = (values & np.uint32(15)).astype(np.uint8)
+    packed = low[:, 0::2] | (low[:, 1::2] << np.uint8(4))
+    packed = np.ascontiguousarray(np.concatenate([packed, packed[:, : NIBBLES // 2 + ROWS]], axis=1))
+    windows = np.lib.stride_tricks.sliding_window_view(packed, NIBBLES // 2, axis=1)[:, ROWS // 2 :: ROWS // 2][:, :BANDS]
+    marks = np.ascontiguousarray(windows).view(np.dtype([("low", "<u8"), ("high", "<u4")])).reshape(n, BANDS)
+    out = np.empty((n, BANDS), _MEMBER)
+    out["key"], out["cls"] = key & np.uint64(0xFFFFFFFF), classes[:, None]
+    out["size"] = np.floor(np.log(sizes) * _SIZE_STEPS).astype(np.uint16)[:, None]
+    out["low"], out["high"] = marks["low"], marks["high"]
+    by = np.argsort(part, kind="stable")
+    return part[by], out.ravel()[by]
+
+
+def _tiles(parts: int):
+    """One row for each block of texts and partition: the tile rows that go there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in batches:
             fresh: dict[int, str] = {}
             for t in map(normalise, batch.column(0).to_pylist()):
@@ -141,97 +177,133 @@ def _prefixes(shared: Broadcast, threshold: float, parts: int):
                     fresh[c] = t
             classes = np.fromiter(fresh, np.int64, len(fresh))
             for lo, offsets, h, at in _shingled(list(fresh.values())):
-                n, words = sizes_and_bitmaps(offsets, h, at)
-                ends = np.searchsorted(at, offsets)
-                found = [prefix_of(np.unique(h[at[x:y]]), counts, threshold) for x, y in zip(ends, ends[1:])]
-                keys, places = (np.concatenate([f[k] for f in found]) for k in range(2))
-                who = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                part = ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
-                by = np.lexsort((part, who))
-                keys, places, who, part = keys[by], places[by], who[by], part[by]
-                start = np.nonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (part[1:] != part[:-1])]))[0] if len(who) else np.zeros(0, np.int64)
-                ends = pa.array(np.append(start, len(who)).astype(np.int32))
-                own = who[start]
-                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(own), [None, pa.py_buffer(np.ascontiguousarray(words[own]))]).cast(pa.binary())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.view(np.int64), places.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(classes[lo + own]), pa.array(n[own].astype(np.int32)), *lists, bits], names=["part", "cls", "n", "keys", "places", "bits"])
+                rows = len(offsets) - 1
+                own, hashes = distinct_hashes(offsets, h, at)
+                part, out = tile_members(classes[lo : lo + rows], np.bincount(own, minlength=rows), bin_values(rows, own, hashes), parts)
+                start = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array([x.tobytes() for x in np.split(out, start[1:])], pa.binary())], names=["part", "rows"])
 
     return run
 
 
-def sizes_and_bitmaps(offsets: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles of each text, and its bitmap as 64-bit words."""
-    rows = len(offsets) - 1
-    bits = max(1, int(rows - 1).bit_length())
-    both = np.sort((owners(offsets)[at].astype(np.uint64) << np.uint64(64 - bits)) | (h[at] >> np.uint64(bits)))
-    if len(both):
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    own = (both >> np.uint64(64 - bits)).astype(np.int64)
-    bitmap = np.zeros((rows, BITS), bool)
-    bitmap[own, ((both << np.uint64(bits)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
-    return np.bincount(own, minlength=rows), np.packbits(bitmap, axis=1, bitorder="little").view(np.int64)
+def _ones(words: np.ndarray) -> np.ndarray:
+    """Bits set in each row of words."""
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
 
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    """Bits set in each row of eight words."""
-    eight = np.bitwise_count(x).view(np.uint64).ravel()
-    low = np.uint64(0x00FF00FF00FF00FF)
-    return (((eight & low) + ((eight >> np.uint64(8)) & low)) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int32)
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether enough of the four-bit values of two members are equal."""
+    ones = np.uint64(0x1111111111111111)
+    low, high = a["low"] ^ b["low"], (a["high"] ^ b["high"]).astype(np.uint64)
+    low |= low >> np.uint64(2)
+    low |= low >> np.uint64(1)
+    high |= high >> np.uint64(2)
+    high |= high >> np.uint64(1)
+    return np.bitwise_count(low & ones) + np.bitwise_count(high & ones) <= NIBBLES - AGREE
 
 
-def may_be_similar(keys: np.ndarray, own: np.ndarray, places: np.ndarray, n: np.ndarray, words: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of texts that meet in a shingle and that neither sizes, places nor bitmaps exclude.
+def ordered(rows: np.ndarray) -> np.ndarray:
+    """Members by tile and size, a class once in a tile, without tiles of one."""
+    rows = rows[np.lexsort((rows["cls"], rows["size"], rows["key"]))]
+    if len(rows):
+        rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])])]
+        same = rows["key"][1:] == rows["key"][:-1]
+        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    return rows
 
-    ``keys``, ``own`` and ``places`` have a row for each shingle of a prefix, ``n`` and ``words`` one
-    for each text. A pair is looked at in every shingle it meets in, and stays at least in its first:
-    there, the overlap is at most what is left of both texts from that place on.
-    """
-    by = np.lexsort((n[own], keys))
-    keys, own, places = keys[by], own[by], places[by]
-    size, share = n[own].astype(np.int64), threshold / (1 + threshold)
-    limit = np.floor((size - places) / share - size + 1e-6).astype(np.int64)  # of the other text's size
-    top = np.minimum(limit, np.floor(size / threshold + 1e-6).astype(np.int64))
-    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else keys.astype(np.int64)
-    wide = int(size.max(initial=0)) + 1
-    last = np.searchsorted(group * wide + size, group * wide + np.clip(top, 0, wide - 1), side="right")
-    times = np.maximum(last - np.arange(len(keys)) - 1, 0)
+
+def _pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (a < b) of classes, each row with those from ``first`` to ``last`` that agree, some at a time."""
+    times, out, lo = np.maximum(last - first, 0), [], 0
     total = np.cumsum(times)
-    lo = 0
-    while lo < len(keys):
+    marks = {k: np.ascontiguousarray(rows[k]) for k in ("low", "high", "cls")}
+    while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PAIRS, side="right")))
-        i = np.repeat(np.arange(lo, hi), times[lo:hi])
-        j = ragged(np.arange(lo, hi) + 1, times[lo:hi])
-        stay = size[i] <= limit[j]
-        i, j = i[stay], j[stay]
-        a, b = own[i], own[j]
-        needed = np.ceil(share * (size[i] + size[j]) - 1e-6).astype(np.int64)
-        less_a, less_b = size[i] - needed, size[j] - needed  # how many shingles each may have alone
-        for w in range(0, words.shape[1], 8):
-            x, y = words[a, w : w + 8], words[b, w : w + 8]
-            less_a, less_b = less_a - _ones(x & ~y), less_b - _ones(y & ~x)
-            stay = (less_a >= 0) & (less_b >= 0)
-            a, b, less_a, less_b = a[stay], b[stay], less_a[stay], less_b[stay]
-        yield a, b
+        i, j = np.repeat(np.arange(lo, hi), times[lo:hi]), ragged(first[lo:hi], times[lo:hi])
+        near = _agree({k: v[i] for k, v in marks.items()}, {k: v[j] for k, v in marks.items()})
+        a, b = marks["cls"][i[near]], marks["cls"][j[near]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
         lo = hi
+        if lo == len(rows) or sum(map(len, out)) > 4 * _PAIRS:
+            yield np.unique(np.concatenate(out), axis=0)
+            out = []
+
+
+def met_in(rows: np.ndarray, threshold: float, tile: int = TILE) -> tuple[Iterator[np.ndarray], list[tuple[bytes, bytes]]]:
+    """(pairs of classes that met, pairs of tiles still to be compared) of ordered members."""
+    size = rows["size"].astype(np.int64)
+    band = int(np.ceil(-np.log(threshold) * _SIZE_STEPS)) + 1
+    place = rows["key"].astype(np.int64) << 17 | size
+    ends = np.searchsorted(place, place + min(band, 0xFFFF), side="right")
+    start = np.nonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))[0] if len(rows) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(rows)))
+    later = []
+    for s, n in zip(start[length > tile], length[length > tile]):
+        cuts = [rows[k : min(k + tile, s + n)] for k in range(s, s + n, tile)]
+        for x, left in enumerate(cuts):
+            later += [(left.tobytes(), b"" if right is left else right.tobytes()) for right in cuts[x:] if int(right["size"][0]) - int(left["size"][-1]) <= band]
+    small = np.repeat(length <= tile, length)
+    ends -= np.concatenate([[0], np.cumsum(~small)])[ends]
+    return _pairs(rows[small], np.arange(1, small.sum() + 1), ends[small]), later
 
 
 def _meet(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(some) if (some := [b for b in batches if b.num_rows]) else None
-        if rows is None:
-            return
-        cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)  # a class of several tasks comes from each
-        rows = rows.take(pa.array(first)).combine_chunks()
-        keys, places = (rows.column(c).combine_chunks() for c in ("keys", "places"))
-        if isinstance(keys, pa.ChunkedArray):
-            keys, places = (pa.concat_arrays(x.chunks) for x in (keys, places))
-        own = np.repeat(np.arange(len(cls)), keys.value_lengths().to_numpy())
-        words = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
-        met = [np.zeros(0, np.int64)]
-        for a, b in may_be_similar(keys.flatten().to_numpy(), own, places.flatten().to_numpy(), rows.column("n").to_numpy(), words, threshold):
-            met.append(np.unique(np.minimum(a, b) * len(cls) + np.maximum(a, b)))
-        met = np.unique(np.concatenate(met))
-        yield pa.RecordBatch.from_arrays([pa.array(cls[met // len(cls)]), pa.array(cls[met % len(cls)])], names=["a", "b"])
+        some = [r for b in batches for r in b.column("rows").to_pylist()]
+        if some:
+            met, later = met_in(ordered(np.frombuffer(b"".join(some), _MEMBER)), threshold)
+            yield from map(_met, met)
+            for left, right in later:
+                yield _met(np.zeros((1, 2), np.int64), left, right)
+
+    return run
+
+
+def _met(pairs: np.ndarray, left: bytes | None = None, right: bytes | None = None) -> pa.RecordBatch:
+    more = [pa.array([x] * len(pairs), pa.binary()) for x in (left, right)]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *more], names=["a", "b", "left", "right"])
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            rows = np.frombuffer(left + right, _MEMBER)
+            n = len(left) // _MEMBER.itemsize
+            first = np.full(n, n) if right else np.arange(1, n + 1)
+            for pairs in _pairs(rows, np.pad(first, (0, len(rows) - n)), np.pad(np.full(n, len(rows)), (0, len(rows) - n))):
+                yield _met(pairs).select(["a", "b"])
+
+
+def _signed(shared: Broadcast | None):
+    """(class, number of distinct shingles, bitmap) once per class in a task, of classes that may be among the marked ones."""
+    texts = _texts(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts(batches):
+            classes = batch.column(0).to_numpy()
+            for lo, offsets, h, at in _shingled(batch.column(1).to_pylist()):
+                rows = len(offsets) - 1
+                own, hashes = distinct_hashes(offsets, h, at)
+                words = bitmaps(rows, own, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(classes[lo : lo + rows]), pa.array(np.bincount(own, minlength=rows)), pa.array([w.tobytes() for w in words], pa.binary())], names=["cls", "n", "bits"])
+
+    return run
+
+
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sizes and bitmaps leave room for the overlap that the threshold needs."""
+    needed = np.ceil(threshold / (1 + threshold) * (size_a + size_b) - 1e-6).astype(np.int64)
+    needed -= (size_a.astype(float) * size_b / 2**40).astype(np.int64)  # sizes count 52 bits of a hash
+    return (_ones(a & ~b) <= size_a - needed) & (_ones(b & ~a) <= size_b - needed)
+
+
+def _bounded(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(c).to_numpy() for c in ("na", "nb")]
+                words = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b")]
+                yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(*sizes, *words, threshold)))
 
     return run
 
@@ -326,20 +398,35 @@ def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """(members: cls, id, as often as delivered; links: a, b, similarity of classes, a < b), both from tables in the shared folder."""
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    spread = spark.sparkContext.broadcast
-    counts = _gather(rows.select("text").mapInArrow(_count_shingles, "part bigint, counts binary"), "<u2", SHINGLE_SLOTS_LOG2)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = rows.select("text").mapInArrow(_prefixes(spread(counts), threshold, parts), _PREFIX)
-    pairs = materialize(prefixes.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), "a bigint, b bigint").dropDuplicates(["a", "b"]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * BANDS * _MEMBER.itemsize // _PART_BYTES))
+    tiles = rows.select("text").mapInArrow(_tiles(parts), "part int, rows binary").repartitionById(parts, F.col("part"))
+    met = materialize(tiles.mapInArrow(_meet(threshold), "a bigint, b bigint, left binary, right binary"))
+    hot = met.where("left IS NOT NULL").select("left", "right")
+    hot = hot.repartition(parts, F.xxhash64("left", "right")).mapInArrow(_between, "a bigint, b bigint")
+    pairs = materialize(met.where("left IS NULL").select("a", "b").union(hot).dropDuplicates(["a", "b"]))
+
+    wanted = _ends(pairs)
+    signed = _once(rows.select("text").mapInArrow(_signed(_spread(wanted)), "cls bigint, n bigint, bits binary"), wanted)
+    side = lambda c: signed.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits_" + c))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(threshold), "a bigint, b bigint"))
 
     wanted = _ends(pairs)
-    mark = _marks(wanted)
-    texts = rows.select("text").mapInArrow(_texts(None if mark is None else spread(mark)), "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    texts = _once(rows.select("text").mapInArrow(_texts(_spread(wanted)), "cls bigint, text string"), wanted)
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
     return materialize(rows.select("id", "text").mapInArrow(_classes, "cls bigint, id string")), links
 
 
+def _spread(classes: DataFrame) -> Broadcast | None:
+    mark = _marks(classes)
+    return None if mark is None else classes.sparkSession.sparkContext.broadcast(mark)
+
+
+def _once(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row for each of the wanted classes."""
+    return rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def similar_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """chunk_a < chunk_b and their similarity, copies included."""
     name = F.xxhash64("id")
@@ -361,6 +448,14 @@ def similar_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) ->
     return everything.where("x != y").groupBy(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).agg(F.max("similarity").alias("similarity"))
 
 
+def memberships(members: DataFrame, links: DataFrame) -> DataFrame:
+    """id, class_id (smallest id with the same text), copies (ids of the class), n_links (other classes it is similar to)."""
+    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    members = members.distinct()
+    named = members.groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")).join(degree, "cls", "left")
+    return members.join(named, "cls").select("id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """id, group_id (smallest id of its connected group), n_links (similar classes): one row per id.
 

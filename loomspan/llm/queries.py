@@ -9,7 +9,7 @@ from .encode import encode_corpus
 from .languages import document_languages, label_defects, language_segments
 from .leakage import leaked_items
 from .markup import cleaned, found, texts_of
-from .near_duplicates import groups, similar_classes, similar_pairs
+from .near_duplicates import groups, memberships, similar_classes, similar_pairs
 from .pairs import all_pairs, pair_defects
 from .split import split_pieces
 
@@ -30,6 +30,10 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups(*similar_classes(read_table(spark, folder, "knowledge_chunk")))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return memberships(*similar_classes(read_table(spark, folder, "knowledge_chunk")))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(read_table(spark, folder, "knowledge_chunk"), read_table(spark, folder, "split_limit")).distinct()
 
@@ -75,7 +79,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return label_defects(p9_languages(spark, folder))
 
 
-QUERIES = {"p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+QUERIES = {"p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_groups": p4_groups, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 _P8 = """
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_replace(lower(text), '[^\\pL\\p{Nd}]', '', 'g') AS t FROM heldout_item),
