@@ -75,9 +75,12 @@ class _Words:
         mixed = [np.add.reduceat((cp.astype(np.uint64) + np.uint64(salt)) * _powers(int(self.length.max()), base)[place], self.at) for salt, base in ((77, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F))]
         both = mixed[0] ^ (mixed[1] << np.uint64(1)) ^ (self.length.astype(np.uint64) << np.uint64(48))
         _, self.first, self.which = np.unique(both, return_index=True, return_inverse=True)
-        same = (mixed[0] == mixed[0][self.first][self.which]) & (self.length == self.length[self.first][self.which])
-        if not same.all():  # two words met in one hash: take every word by itself
-            self.first, self.which = np.arange(len(self.at)), np.arange(len(self.at))
+        # Hashes only propose: words that differ from the one they stand for are taken by themselves.
+        at, length = self.at[self.first][self.which], self.length[self.first][self.which]
+        twin = np.minimum(np.repeat(at, self.length) + place, len(cp) - 1)
+        odd = np.nonzero((length != self.length) | np.logical_or.reduceat(cp != cp[twin], self.at))[0]
+        self.which[odd] = len(self.first) + np.arange(len(odd))
+        self.first = np.append(self.first, odd)
         self.owner = np.searchsorted(offsets, self.at, "right") - 1
         size = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
         byte_at = np.zeros(len(cp) + 1, np.int64)
@@ -106,7 +109,7 @@ def _merger(folder: str):
     return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-def _word_counts(folder_unused: str | None = None):
+def _word_counts():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:

@@ -72,3 +72,12 @@ def test_table(spark, reference):
     got = sorted(((r["doc_id"], list(r["ids"])) for r in E.encode_corpus(df).collect()), key=str)
     assert got == sorted(((d, reference.encode_ordinary(t or "")) for d, t, _ in rows), key=str)
     assert E.encode_corpus(df.where("false")).count() == 0
+
+
+def test_words_of_one_hash_are_told_apart(reference):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))  # equal to its complement under any polynomial modulo 2^64
+    b = a.translate({97: 98, 98: 97})
+    texts = [a, b, a, b + " x"]
+    ((_, _, cp, offsets),) = blocks(texts)
+    ids, ends = E.encode_block(cp, offsets, Lexicon(data=compile_lexicon({b"x": [87]})), E._merger(E.TOKENIZERS))
+    assert [ids[x:y].tolist() for x, y in zip(ends, ends[1:])] == [reference.encode_ordinary(t) for t in texts]
