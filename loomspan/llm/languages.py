@@ -11,13 +11,14 @@ function words below, so every language has a profile whatever the table holds.
 fit, sample documents that are nearer to another language than their label are left out and the
 profiles are fitted again. Everything else covers all documents and whole texts.
 
-A document is cut into sentences. Each sentence that could be a whole one (it ends like a
-sentence, has enough letters and isn't a command, path or table row) is a segment with its own
-language; its language counts as contained if it is clearly nearer than the document's.
+A document is cut into sentences, after their terminators and closing quotes. Each sentence that
+could be a whole one (it ends like a sentence, has some letters and isn't a command, path or table
+row) is a segment with its own language; its language counts as contained if it is clearly nearer
+than the document's, the more clearly the shorter the sentence is.
 
 Results for odd input: NULL, empty and letterless texts have no language and no rows; unknown,
-blank and NULL labels are ``missing``; a label of any other language is ``wrong``; equal distances
-go to the first language in alphabetical order; repeated rows give equal rows.
+blank and NULL labels are ``missing``; a label of a language without profile is ``wrong`` if the text
+is surely (``OTHER_SURE``) in one that has a profile, and is trusted else; equal distances go to the first language in alphabetical order; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -41,8 +42,12 @@ TRAIN_DOCS = 300
 TRAIN_CHARS = 20_000
 #: A segment counts as another language if its distance is lower by this part of the profile's length per n-gram.
 GAP = 0.02
-#: Letters that a sentence must have, by whether its script writes syllables or words with one sign.
-MIN_LETTERS, MIN_SIGNS = 16, 7
+#: Letters of a sentence from which that gap counts, by whether its script writes syllables or words
+#: with one sign. A shorter sentence needs a gap larger by the square of what it lacks, and some letters.
+FULL_LETTERS, FULL_SIGNS = 16, 7
+MIN_LETTERS, MIN_SIGNS = 10, 4
+#: A label of a language without profile is ``wrong`` only if the text's own one is this sure.
+OTHER_SURE = 0.5
 
 # Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -74,7 +79,8 @@ def label_language(lang: Column) -> Column:
 _ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
 _FULL_ENDS = np.array([ord(c) for c in "。！？｡"], np.uint32)
 _LINE = np.array([10, 13, 0x85, 0x2028, 0x2029], np.uint32)
-_CODE = np.array([ord(c) for c in "{}<>=|_\\$#@"], np.uint32)
+_CLOSE = np.array([ord(c) for c in "\"'”’»›」』)）"], np.uint32)
+_CODE = np.array([ord(c) for c in "{}<>=|_\\"], np.uint32)
 
 
 @cache
@@ -95,9 +101,16 @@ def sentence_ids(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line = np.isin(cp, _LINE)
     full = np.isin(cp, _FULL_ENDS)
     dot = np.isin(cp, _ENDS)
+    close = np.isin(cp, _CLOSE)
+    quoted = np.zeros(n, bool)  # closing signs right after a terminator
+    quoted[1:] = close[1:] & (dot | full)[:-1]
+    closed = np.zeros(n, bool)  # terminators that a closing sign follows
+    closed[:-1] = quoted[1:]
     space_next = np.ones(n, bool)
     space_next[:-1] = char_classes()[cp[1:]] == SPACE
-    cut[1:] = line | full | (dot & space_next)
+    wide = np.zeros(n, bool)
+    wide[1:] = full[:-1]
+    cut[1:] = line | (full & ~closed) | (dot & space_next) | (quoted & (space_next | wide))
     cut[offsets[:-1]] = True
     return np.cumsum(cut[:n]) - 1
 
@@ -250,9 +263,12 @@ class Segmented:
         signs = (kind == LETTER) & (((cp >= 0x3040) & (cp < 0xA000)) | ((cp >= 0xAC00) & (cp < 0xD7B0)) | (cp >= 0x20000))
         self.signs = np.bincount(self.sid[signs], minlength=units)
         self.doc_letters = np.bincount(self.doc, weights=self.letters, minlength=docs) if units else np.zeros(docs)
-        ends = np.isin(cp, _ENDS) | np.isin(cp, _FULL_ENDS)
+        goes_on = np.zeros(len(cp), bool)
+        goes_on[:-1] = (self.sid[1:] == self.sid[:-1]) & (kind[1:] != SPACE) & ~np.isin(cp[1:], _CLOSE)
+        ends = (np.isin(cp, _ENDS) & ~goes_on) | np.isin(cp, _FULL_ENDS)
         self.whole = np.bincount(self.sid[ends], minlength=units) > 0
         self.whole &= (self.letters >= MIN_LETTERS) | (self.signs >= MIN_SIGNS)
+        self.full = np.minimum(1.0, np.maximum(self.letters / FULL_LETTERS, self.signs / FULL_SIGNS))
         self.whole &= np.bincount(self.sid[np.isin(cp, _CODE)], minlength=units) == 0
         letters = np.nonzero(kind == LETTER)[0]
         if len(letters):
@@ -273,7 +289,7 @@ def languages_of(cp: np.ndarray, offsets: np.ndarray, profiles: Profiles, gap: f
     if len(near):
         own = main[x.doc]
         lead = x.far[np.arange(len(near)), np.maximum(own, 0)] - x.far[np.arange(len(near)), near]
-        foreign = x.whole & (own >= 0) & (near != own) & (lead >= gap)
+        foreign = x.whole & (own >= 0) & (near != own) & (lead * x.full**2 >= gap)
         held[x.doc[foreign], near[foreign]] = True
         x.foreign = foreign
     else:
@@ -334,8 +350,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Profiles of the labelled sample of ``docs`` (see the module's text for its bounds)."""
     rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= TRAIN_CHARS))
     coded = rows.select(F.col(doc_id).alias("doc_id"), label_language(F.col(lang)).alias("code")).where(F.col("code").isin(*LANGS))
-    by = W.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = coded.withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select("doc_id", "code")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = {r["code"]: min(1.0, 4 * TRAIN_DOCS / r["n"]) for r in coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    limit = F.coalesce(*[F.when(F.col("code") == c, F.lit(int(x * (1 << 40)))) for c, x in share.items()], F.lit(0))
+    by = W.partitionBy("code").orderBy(part, "doc_id")  # over some TRAIN_DOCS * 4 rows a language
+    chosen = coded.where(part < limit).withColumn("r", F.row_number().over(by)).where(F.col("r") <= TRAIN_DOCS).select("doc_id", "code")
     ids = chosen.collect()  # at most TRAIN_DOCS a language
     code = {r["doc_id"]: r["code"] for r in ids}
     if not code:
@@ -371,5 +390,6 @@ def label_defects(languages: DataFrame) -> DataFrame:
     """doc_id, defect (``mixed``, ``missing``, ``wrong``), lang of documents whose label is no good."""
     rows = languages.where("language IS NOT NULL").withColumn("named", label_language(F.col("label")))
     mixed = F.size("languages") > 1
-    defect = F.when(mixed, "mixed").when(F.col("named").isNull(), "missing").when(F.col("named") != F.col("language"), "wrong")
+    unsure = (F.col("named") == "other") & (F.col("confidence") < OTHER_SURE)
+    defect = F.when(mixed, "mixed").when(F.col("named").isNull(), "missing").when((F.col("named") != F.col("language")) & ~unsure, "wrong")
     return rows.select("doc_id", defect.alias("defect"), F.explode("languages").alias("lang")).where("defect IS NOT NULL").distinct()

@@ -53,3 +53,17 @@ def test_empty_and_long(spark):
     assert L.label_defects(L.document_languages(df)).count() == 0 and L.language_segments(df).count() == 0
     long = spark.createDataFrame([(1, TEXTS["es"] * 20_000, "pt")], "doc_id bigint, text string, lang string")
     assert [tuple(r) for r in L.label_defects(L.document_languages(long)).collect()] == [(1, "wrong", "es")]
+
+
+def test_short_and_quoted_sentences(spark):
+    en = TEXTS["en"] + " " + TEXTS["en"]
+    rows = [(en + " Das stimmt nicht. " + en, "en"), (en + " “Der Bericht wurde gestern geprüft.” " + en, "en"), (en + " Bitte schreiben Sie an post@beispiel.de für den Bericht. " + en, "en"), (en + " Pri…se en main\n" + en, "en")]
+    df = spark.createDataFrame(schema_rows(rows), "doc_id bigint, text string, lang string, language string")
+    got = {tuple(r) for r in L.label_defects(L.document_languages(df, L.fit_profiles({}))).collect()}
+    assert got == {(i, "mixed", c) for i in range(3) for c in ("de", "en")}
+
+
+def test_labels_without_profile_are_trusted_unless_the_text_is_sure(spark):
+    rows = [(1, "fr", ["fr"], 0.2, "it"), (2, "fr", ["fr"], 0.9, "it"), (3, "fr", ["fr"], 0.2, "de"), (4, "fr", ["fr"], 0.2, "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, language string, languages array<string>, confidence double, label string")
+    assert {tuple(r) for r in L.label_defects(df).collect()} == {(2, "wrong", "fr"), (3, "wrong", "fr")}
