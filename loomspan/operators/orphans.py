@@ -6,13 +6,15 @@ it, and a key beyond that run's end has no parent.
 
 Keys. A reference is compared lower-cased and stripped of white space. A canonical decimal
 number keeps its value (so dense numeric keys compress to few runs), a UUID is its 128-bit
-value, any other text is the 128-bit value of its MD5 digest.
+value, any other text is the 128-bit value of its MD5 digest; the three kinds never meet.
 
-Distribution. Runs never cross a *bucket* (a fixed range of the integer line), so the as-of
-match is a window within a bucket and no task sees more than a bucket's keys. References are
-reduced to one row per distinct key before that, map side first: a key that a third of all
-records name is one row. The records are then joined with the keys that have no parent (or a
-younger one) only, salted, so a hot missing key is spread over ``SALTS`` tasks.
+Distribution. Runs never cross a *block* of 2^``BLOCK_BITS`` consecutive integers and are matched
+within their block, which is spread by hash: no task sees more than a block's keys of any one,
+however dense or time-ordered keys are. A run is three integers. References are reduced to one
+row per distinct key before that, map side first: a key that a third of all records name is one
+row. Younger parents come from a join on the key itself, for which both sides are already in
+place. The records are then joined with the keys that have no parent (or a younger one) only,
+salted, so a hot missing key is spread over ``SALTS`` tasks.
 
 Results for odd input: NULL or blank references are no cases; NULL ``created_at`` of a record
 gives a NULL period and is never ``late``; a parent with only NULL ``created_at`` is never
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_ref, utc_month
 
-#: Keys of which a run has at most so many, as a power of two; also the bits of a UUID's bucket.
-BUCKET_BITS = 16
+#: Keys that a run has at most, as a power of two.
+BLOCK_BITS = 16
 #: Parts into which the records of one key are spread in the last join.
 SALTS = 16
 
@@ -57,51 +59,48 @@ class Parent:
     created_col: str
 
 
-def int_key(ref: Column) -> tuple[Column, Column]:
-    """The high and low 64 bits of a normalised reference's 128-bit integer."""
-    hexed = F.when(ref.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.replace(ref, F.lit("-"), F.lit(""))).otherwise(F.md5(ref))
+_KEY = ["entity", "kind", "hi", "lo"]
+_BLOCK = ["entity", "kind", "hi", "block"]
+
+
+def int_key(ref: Column) -> tuple[Column, Column, Column]:
+    """The kind of a normalised reference and the high and low 64 bits of its 128-bit integer."""
+    uuid = ref.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    hexed = F.when(uuid, F.replace(ref, F.lit("-"), F.lit(""))).otherwise(F.md5(ref))
     number = ref.rlike("^(0|[1-9][0-9]{0,17})$")
     hi = F.when(number, F.lit(0).cast("bigint")).otherwise(F.conv(F.substring(hexed, 1, 16), 16, -10).cast("bigint"))
     lo = F.when(number, ref.cast("bigint")).otherwise(F.conv(F.substring(hexed, 17, 16), 16, -10).cast("bigint"))
-    return hi, lo
+    return F.when(number, 0).when(uuid, 1).otherwise(2).cast("tinyint"), hi, lo
 
 
 def _keyed(df: DataFrame, entity: str, ref: str, created: str, *more: Column) -> DataFrame:
     named = df.select(F.lit(entity).alias("entity"), norm_ref(F.col(ref).cast("string")).alias("ref"), F.col(created).cast("bigint").alias("created"), *more)
-    hi, lo = int_key(F.col("ref"))
-    return named.where(F.col("ref").isNotNull()).withColumn("hi", hi).withColumn("lo", lo).drop("ref")
+    kind, hi, lo = int_key(F.col("ref"))
+    return named.where(F.col("ref").isNotNull()).withColumn("kind", kind).withColumn("hi", hi).withColumn("lo", lo).drop("ref")
+
 
+def parent_keys(parents: list[Parent]) -> DataFrame:
+    """Each parent key once, with its earliest ``parent_created``."""
+    keys = reduce(DataFrame.unionByName, [_keyed(p.df, p.entity, p.id_col, p.created_col) for p in parents])
+    return keys.groupBy(*_KEY).agg(F.min("created").alias("parent_created"))
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    small = F.col("hi") == 0
-    return df.withColumn("bucket", F.when(small, F.shiftright("lo", BUCKET_BITS)).otherwise(F.shiftright("hi", 64 - BUCKET_BITS)))
 
+def key_runs(keys: DataFrame) -> DataFrame:
+    """Runs of consecutive keys within their blocks: lo (start) and run_end."""
+    blocks = keys.select(*_KEY, F.shiftright("lo", BLOCK_BITS).alias("block"))
+    by = W.partitionBy(*_BLOCK).orderBy("lo")
+    fresh = F.when(F.lag("lo").over(by) + 1 == F.col("lo"), 0).otherwise(1)
+    runs = blocks.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*_BLOCK, "run").agg(F.min("lo").alias("lo"), F.max("lo").alias("run_end"))
 
-def parent_runs(parents: list[Parent]) -> DataFrame:
-    """Runs of consecutive parent keys: bucket, hi, lo (start), run_end, ages (``created`` of each key in it)."""
-    keys = reduce(DataFrame.unionByName, [_keyed(p.df, p.entity, p.id_col, p.created_col) for p in parents])
-    keys = _bucketed(keys.groupBy("entity", "hi", "lo").agg(F.min("created").alias("created")))
-    by = W.partitionBy("entity", "bucket").orderBy("hi", "lo")
-    before = F.lag(F.struct("hi", "lo")).over(by)
-    starts = F.when((before["hi"] == F.col("hi")) & (before["lo"] + 1 == F.col("lo")), 0).otherwise(1)
-    runs = keys.withColumn("fresh", starts).withColumn("run", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("entity", "bucket", "run").agg(
-        F.min(F.struct("hi", "lo")).alias("start"),
-        F.max("lo").alias("run_end"),
-        F.transform(F.array_sort(F.collect_list(F.struct("lo", "created"))), lambda x: x["created"]).alias("ages"),
-    ).select("entity", "bucket", F.col("start.hi").alias("hi"), F.col("start.lo").alias("lo"), "run_end", "ages")
-
-
-def match_as_of(refs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each distinct referenced key with ``has_parent`` and the parent's ``parent_created``."""
-    run = runs.select("entity", "bucket", "hi", "lo", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("first_child"), F.struct("hi", F.col("lo").alias("run_start"), "run_end", "ages").alias("run"))
-    none = F.lit(None).cast(run.schema["run"].dataType)
-    both = run.unionByName(refs.select("entity", "bucket", "hi", "lo", F.lit(1).alias("kind"), "first_child", none.alias("run")))
-    by = W.partitionBy("entity", "bucket").orderBy("hi", "lo", "kind").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("at", F.last("run", ignorenulls=True).over(by)).where("kind = 1")
-    inside = F.coalesce((F.col("at.hi") == F.col("hi")) & (F.col("lo") <= F.col("at.run_end")), F.lit(False))
-    age = F.when(inside, F.get(F.col("at.ages"), (F.col("lo") - F.col("at.run_start")).cast("int")))
-    return found.select("entity", "hi", "lo", "first_child", inside.alias("has_parent"), age.alias("parent_created"))
+
+def beyond_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The distinct referenced keys that lie beyond the end of the run before them, or have none before."""
+    both = runs.select(*_BLOCK, "lo", F.lit(0).alias("turn"), "run_end")
+    both = both.unionByName(refs.select(*_KEY, F.shiftright("lo", BLOCK_BITS).alias("block"), F.lit(1).alias("turn"), F.lit(None).cast("bigint").alias("run_end")))
+    by = W.partitionBy(*_BLOCK).orderBy("lo", "turn").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("at", F.last("run_end", ignorenulls=True).over(by)).where("turn = 1")
+    return found.where(F.col("at").isNull() | (F.col("lo") > F.col("at"))).select(*_KEY)
 
 
 def orphan_references(children: list[Child], parents: list[Parent], deletions: DataFrame | None = None) -> DataFrame:
@@ -114,18 +113,20 @@ def orphan_references(children: list[Child], parents: list[Parent], deletions: D
         DataFrame.unionByName,
         [_keyed(c.df, c.entity, c.ref_col, c.created_col, F.lit(c.name).alias("child_table"), F.col(c.id_col).cast("string").alias("record_id")) for c in children],
     )
-    refs = _bucketed(records.groupBy("entity", "hi", "lo").agg(F.min("created").alias("first_child")))
-    matched = match_as_of(refs, parent_runs(parents))
-    bad = matched.where(~F.col("has_parent") | (F.col("first_child") < F.col("parent_created")))
+    refs = records.groupBy(*_KEY).agg(F.min("created").alias("first_child"))
+    keys = parent_keys(parents)
+    absent = beyond_runs(refs, key_runs(keys))
     if deletions is not None:
-        gone = _keyed(deletions.withColumn("created", F.lit(None).cast("bigint")), "", "entity_id", "created", F.lower("entity").alias("of")).select(F.col("of").alias("entity"), "hi", "lo", F.lit(True).alias("gone")).distinct()
-        bad = bad.join(gone, ["entity", "hi", "lo"], "left")
+        gone = _keyed(deletions.withColumn("created", F.lit(None).cast("bigint")), "", "entity_id", "created", F.lower("entity").alias("of")).select(F.col("of").alias("entity"), "kind", "hi", "lo", F.lit(True).alias("gone")).distinct()
+        absent = absent.join(gone, _KEY, "left")
     else:
-        bad = bad.withColumn("gone", F.lit(False))
-    bad = bad.select("entity", "hi", "lo", "parent_created", F.when(F.col("has_parent"), "late").when(F.col("gone"), "deleted").otherwise("missing").alias("reason"))
+        absent = absent.withColumn("gone", F.lit(False))
+    absent = absent.select(*_KEY, F.lit(None).cast("bigint").alias("parent_created"), F.when(F.col("gone"), "deleted").otherwise("missing").alias("reason"))
+    younger = refs.join(keys, _KEY).where("first_child < parent_created").select(*_KEY, "parent_created", F.lit("late").alias("reason"))
+    bad = absent.unionByName(younger)
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id", "child_table"), F.lit(SALTS)).cast("int"))
-    out = salted.join(bad, ["entity", "hi", "lo", "salt"])
+    out = salted.join(bad, [*_KEY, "salt"])
     out = out.where((F.col("reason") != "late") | (F.col("created") < F.col("parent_created")))
     return out.select("child_table", "record_id", "reason", utc_month(F.col("created")).alias("period")).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 50
+from ..sources.shared import cut
 
 
 def prefixes(path: Column) -> Column:
@@ -21,14 +21,19 @@ def tree_of_paths(paths: DataFrame, col: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor_id, distance) of each node and its ancestors, itself at 0; a cycle ends where it would repeat, a missing parent ends the walk."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE up(id, at, parent, distance, seen) AS (
-          SELECT id, id, parent_id, 0, array(id) FROM {nodes}
-          UNION ALL SELECT u.id, n.id, n.parent_id, u.distance + 1, concat(u.seen, array(n.id)) FROM up u JOIN {nodes} n ON n.id = u.parent WHERE NOT array_contains(u.seen, n.id))
-        SELECT id, at AS ancestor_id, CAST(distance AS BIGINT) AS distance FROM up""",
-        nodes=nodes,
-    )
+    """(id, ancestor_id, distance) of each node and its ancestors, itself at 0; a cycle ends where it would repeat, a missing parent ends the walk.
+
+    Known ways are joined with themselves, so their length doubles each round: a chain of any
+    depth takes as many rounds as its depth has bits.
+    """
+    there = nodes.select(F.col("id").alias("ancestor_id")).distinct()
+    known = cut(nodes.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).cast("bigint").alias("distance")).where("id != ancestor_id").join(there, "ancestor_id", "left_semi"))
+    size = -1
+    while size != (size := known.count()):
+        on = known.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("far"), F.col("distance").alias("more"))
+        longer = known.join(on, "ancestor_id").where("id != far").select("id", F.col("far").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        known = cut(known.unionByName(longer).groupBy("id", "ancestor_id").agg(F.min("distance").alias("distance")))
+    return known.select("id", "ancestor_id", "distance").unionByName(nodes.select("id", F.col("id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance")))
 
 
 def full_paths(nodes: DataFrame) -> DataFrame:

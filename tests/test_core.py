@@ -121,3 +121,10 @@ def test_sse_and_glob(spark):
     df = spark.createDataFrame([("data: {\"a\": 1}",), ("data: [DONE]",), ("",), ("data: {broken",), (None,)], "l string")
     assert [r[0] for r in df.select(messages.parse_sse(F.col("l"))).collect()] == ['{"a": 1}', None, None, None, None]
     assert catalog.glob("a_*.m?") == "a\\_%.m_"
+
+
+def test_deep_chains(spark):
+    n = 150
+    nodes = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"n{i}") for i in range(n)], "id string, parent_id string, name string")
+    up = tree.ancestors(nodes)
+    assert up.count() == n * (n + 1) // 2 and up.where("id = '149' AND ancestor_id = '0'").first()["distance"] == 149

@@ -51,3 +51,20 @@ def test_runs_against_brute_force(spark, parents, refs, base):
     parents = parents | {base + k for k in range(8)}
     got = run(spark, [(str(i), str(r), 1, "x", "y") for i, r in enumerate(refs)], [(str(p), 1, "h") for p in parents])
     assert {r[1] for r in got} == {str(i) for i, r in enumerate(refs) if r not in parents}
+
+
+def test_kinds_of_keys_never_meet(spark):
+    twelve = str(uuid.UUID(int=12))
+    got = run(spark, [("1", twelve, 1, "x", "y"), ("2", "12", 1, "x", "y"), ("3", "13", 1, "x", "y")], [("12", 1, "h"), (str(uuid.UUID(int=13)), 1, "h")])
+    assert {r[1] for r in got} == {"1", "3"}
+
+
+def test_dense_and_time_ordered_keys(spark):
+    ordered = lambda i: str(uuid.UUID(int=(0x0190_0000_0000 + i << 80) | (7 << 76) | (2 << 62) | i))
+    children = spark.range(120_000).selectExpr("cast(id as string) id", "cast(id as string) ref", "5L created")
+    children = children.unionByName(spark.createDataFrame([(f"u{i}", ordered(i), 5) for i in range(200)], "id string, ref string, created bigint"))
+    parents = spark.range(110_000).selectExpr("cast(id as string) id", "if(id = 7, 9L, 1L) created")
+    parents = parents.unionByName(spark.createDataFrame([(ordered(i), 1) for i in range(0, 200, 2)], "id string, created bigint"))
+    out = orphan_references([Child("t", children, "id", "ref", "created", "e")], [Parent("e", parents, "id", "created")])
+    got = {r["record_id"]: r["reason"] for r in out.collect()}
+    assert len(got) == 10_101 and got["7"] == "late" and got["u1"] == "missing" and "u2" not in got
