@@ -310,32 +310,12 @@ def tool_call_assemble(spark: SparkSession, folder: str) -> DataFrame:
     return M.assemble_calls(rows, ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT DISTINCT id, regexp_extract_all(content, '(?is)<li(?:\\s[^<>]*)?>(.*?)</li>', 1) AS items FROM knowledge_chunk WHERE contains(content, '<li')")
-def tag_split_simple(spark: SparkSession, folder: str) -> DataFrame:
-    return t(spark, folder, "knowledge_chunk").where(F.col("content").contains("<li")).select("id", M.tagged(F.col("content"), "li").alias("items")).distinct()
-
-
 @query("SELECT id, c[len(c)].text AS text FROM (SELECT id, list_filter(context_chunks, lambda x: x.text IS NOT NULL AND x.text <> '') AS c FROM golden_set) WHERE len(c) > 0")
 def last_output_text(spark: SparkSession, folder: str) -> DataFrame:
     kept = F.filter("context_chunks", lambda x: x["text"].isNotNull() & (x["text"] != ""))
     return t(spark, folder, "golden_set").select("id", kept.alias("c")).where(F.size("c") > 0).select("id", F.element_at("c", -1)["text"].alias("text"))
 
 
-@query("SELECT DISTINCT id, list_sort(list_distinct(regexp_extract_all(text, '\\[(\\d+)\\]', 1))) AS ids, regexp_replace(regexp_replace(text, '\\s*\\[\\d+\\]', '', 'g'), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS stripped FROM (SELECT id, golden_answer AS text FROM golden_set WHERE golden_answer IS NOT NULL)")
-def mention_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions ([n]) extracted as a set and stripped from the text."""
-    text = F.col("golden_answer")
-    return t(spark, folder, "golden_set").where("golden_answer IS NOT NULL").select("id", F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("ids"), strip(F.regexp_replace(text, r"\s*\[\d+\]", "")).alias("stripped")).distinct()
-
-
-@query(f"WITH {_TASKS}, f AS (SELECT knowledge_id, file_id, count(*) AS n, count(*) FILTER (WHERE status = 'completed') AS done FROM tasks WHERE file_id IS NOT NULL GROUP BY ALL) SELECT t.id, t.knowledge_id, t.file_id FROM tasks t JOIN f ON f.knowledge_id = t.knowledge_id AND f.file_id = t.file_id WHERE (t.status = 'completed') OR f.done > 0")
-def tool_pairs_sanitize(spark: SparkSession, folder: str) -> DataFrame:
-    """Tasks (calls) are kept only if a completed one (a result) exists for the same file."""
-    rows = _tasks(spark, folder).where("file_id IS NOT NULL")
-    done = rows.where("status = 'completed'").select("knowledge_id", "file_id").distinct()
-    return rows.join(done, ["knowledge_id", "file_id"], "left_semi").select("id", "knowledge_id", "file_id")
-
-
 @query(f"WITH {_TASKS} SELECT knowledge_id, count(*) AS n_tasks, count(DISTINCT file_id) AS n_files, round(100 * count(*) FILTER (WHERE status = 'completed') / count(*)) AS pct_done, coalesce(sum(chunks_total), 0)::BIGINT AS chunks FROM tasks GROUP BY 1")
 def batch_totals(spark: SparkSession, folder: str) -> DataFrame:
     rows = _tasks(spark, folder)
