@@ -7,9 +7,12 @@ removal, unequal hashes are a change.
 The canonical hash of an entry covers its non-null fields sorted by name, values as text with
 numbers in one spelling, so absent equals null, ``"7"`` equals ``7`` and order is immaterial.
 
-Distribution. Snapshot documents are flattened where they are read; only hashes move. The run
-of deliveries of one knowledge base is ordered over rows of (number, id, time) without the
-documents. The outer join is keyed by record, so one big knowledge base spreads.
+Distribution. Snapshot documents are parsed once and flattened where they are read; a narrow table
+of keys and 16-byte hashes is written to the shared folder. The run of deliveries of one
+knowledge base is ordered over a row a delivery, and given back as a running number that stands
+for the delivery in all joins (broadcast while there are at most ``BROADCAST_DELIVERIES``). The outer
+join is keyed by delivery and record, so one big knowledge base spreads; the newer side stays
+where the grouping left it.
 
 Results for odd input: NULL, truncated or non-object documents and labels without a number are
 ignored; a missing list or NULL entry is empty; entries without a key are ignored; repeated entries count once;
@@ -22,6 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
+#: Deliveries whose running numbers (some 100 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_DELIVERIES = 200_000
 #: Lists in a snapshot document with the record kind and key field of each.
 LISTS = (("files", "file", "file_id"), ("chunks", "chunk", "id"))
 _SCHEMA = ", ".join(f"{name} array<map<string,string>>" for name, _, _ in LISTS) + ", _bad string"
@@ -41,7 +48,7 @@ def _canonical(value: Column) -> Column:
 def _entry_hash(entry: Column, key: str) -> Column:
     fields = F.array_sort(F.filter(F.map_entries(entry), lambda e: (e["key"] != key) & e["value"].isNotNull()))
     text = F.array_join(F.transform(fields, lambda e: F.concat(e["key"], F.lit("\x01"), _canonical(e["value"]))), "\x02")
-    return F.sha2(text, 256)
+    return F.unhex(F.md5(text))
 
 
 def _entries(name: str, kind: str, key: str) -> Column:
@@ -62,22 +69,24 @@ def flatten_deliveries(snapshots: DataFrame) -> DataFrame:
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """knowledge_id, snapshot_id, rec_kind, rec_id, delta (``added``, ``removed``, ``changed``)."""
-    flat = flatten_deliveries(snapshots)
-    latest = F.max(F.struct(F.coalesce("created_at", F.lit(-(2**62))).alias("at"), "id")).alias("top")
-    counted = flat.groupBy("knowledge_id", "number").agg(latest).select("knowledge_id", "number", F.col("top.at").alias("at"), F.col("top.id").alias("id"))
+    flat = flatten_deliveries(snapshots).withColumn("at", F.coalesce("created_at", F.lit(-(2**62))))
+    flat = materialize(flat.select("knowledge_id", "id", "number", "at", F.explode_outer("entries").alias("e")).select("knowledge_id", "id", "number", "at", "e.*"))
+    deliveries = flat.groupBy("knowledge_id", "number").agg(F.max(F.struct("at", "id")).alias("top")).select("knowledge_id", "number", "top.at", "top.id")
     by = W.partitionBy("knowledge_id").orderBy("number")
-    counted = counted.withColumn("next_id", F.lead("id").over(by)).withColumn("first", F.row_number().over(by) == 1)
-    chosen = flat.withColumn("at", F.coalesce("created_at", F.lit(-(2**62)))).drop("created_at")
-    on = chosen["id"].eqNullSafe(counted["id"]) & chosen["knowledge_id"].eqNullSafe(counted["knowledge_id"]) & (chosen["number"] == counted["number"]) & (chosen["at"] == counted["at"])
-    rows = chosen.join(counted, on).select(chosen["knowledge_id"], chosen["id"], counted["next_id"], counted["first"], F.explode("entries").alias("e"))
-    rows = rows.groupBy("knowledge_id", "id", "next_id", "first", F.col("e.rec_kind").alias("rec_kind"), F.col("e.rec_id").alias("rec_id")).agg(F.array_join(F.array_sort(F.collect_set("e.hash")), "|").alias("hash"))
-    new = rows.where(~F.col("first")).select("knowledge_id", F.col("id").alias("snapshot_id"), "rec_kind", "rec_id", F.col("hash").alias("new_hash"))
-    old = rows.where(F.col("next_id").isNotNull()).select("knowledge_id", F.col("next_id").alias("snapshot_id"), "rec_kind", "rec_id", F.col("hash").alias("old_hash"))
-    keys = ["snapshot_id", "rec_kind", "rec_id"]
-    old = old.withColumnRenamed("knowledge_id", "old_kb")
-    both = new.join(old, keys, "full_outer")
+    turns = materialize(deliveries.withColumn("turn", F.row_number().over(by)).withColumn("last", F.lead("number").over(by).isNull()))
+    small = F.broadcast if turns.count() <= BROADCAST_DELIVERIES else (lambda df: df)
+
+    chosen = small(turns.withColumnRenamed("knowledge_id", "kb").withColumnRenamed("id", "sid").withColumnRenamed("at", "t").withColumnRenamed("number", "n"))
+    on = F.col("id").eqNullSafe(F.col("sid")) & F.col("knowledge_id").eqNullSafe(F.col("kb")) & (F.col("number") == F.col("n")) & (F.col("at") == F.col("t"))
+    rows = flat.where("rec_id IS NOT NULL").join(chosen, on).select("knowledge_id", "turn", "last", "rec_kind", "rec_id", "hash")
+    rows = rows.groupBy("knowledge_id", "turn", "rec_kind", "rec_id").agg(F.array_sort(F.collect_set("hash")).alias("hash"), F.first("last").alias("last"))
+    new = rows.where("turn > 1").select("knowledge_id", "turn", "rec_kind", "rec_id", F.col("hash").alias("new_hash"))
+    old = rows.where("NOT last").select(F.col("knowledge_id").alias("okb"), (F.col("turn") + 1).alias("oturn"), F.col("rec_kind").alias("okind"), F.col("rec_id").alias("orec"), F.col("hash").alias("old_hash"))
+    same = F.col("knowledge_id").eqNullSafe(F.col("okb")) & (F.col("turn") == F.col("oturn")) & (F.col("rec_kind") == F.col("okind")) & (F.col("rec_id") == F.col("orec"))
     delta = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "changed")
-    return both.select(F.coalesce("knowledge_id", "old_kb").alias("knowledge_id"), *keys, delta.alias("delta")).where("delta IS NOT NULL").distinct()
+    both = new.join(old, same, "full_outer").select(F.coalesce("knowledge_id", "okb").alias("knowledge_id"), F.coalesce("turn", "oturn").alias("turn"), F.coalesce("rec_kind", "okind").alias("rec_kind"), F.coalesce("rec_id", "orec").alias("rec_id"), delta.alias("delta")).where("delta IS NOT NULL")
+    named = small(turns.select(F.col("knowledge_id").alias("kb"), F.col("turn").alias("k"), F.col("id").alias("snapshot_id")))
+    return both.join(named, F.col("knowledge_id").eqNullSafe(F.col("kb")) & (F.col("turn") == F.col("k"))).select("knowledge_id", "snapshot_id", "rec_kind", "rec_id", "delta")
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
