@@ -66,3 +66,15 @@ def reindex_meta(chunks: DataFrame) -> DataFrame:
 
 def with_derived(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("token_count", token_count(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+
+
+def snapshot_documents(bases: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A snapshot of each knowledge base: its files and chunks as one JSON document, with their numbers.
+
+    The document is one value a knowledge base, as snapshots are stored; it holds no texts.
+    """
+    f = files.groupBy("knowledge_id").agg(F.count(F.lit(1)).alias("file_count"), F.array_sort(F.collect_list(F.struct("file_id", "filename", "directory_id"))).alias("files"))
+    c = chunks.groupBy("knowledge_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.array_sort(F.collect_list(F.struct("id", "file_id", "chunk_index", "content_hash", "token_count"))).alias("chunks"))
+    both = bases.join(f, "knowledge_id", "left").join(c, "knowledge_id", "left")
+    lists = [F.coalesce(F.col(n), F.array().cast(both.schema[n].dataType)).alias(n) for n in ("files", "chunks")]
+    return both.select("knowledge_id", F.coalesce("file_count", F.lit(0)).alias("file_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.to_json(F.struct(*lists)).alias("snapshot_data"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
@@ -57,3 +58,21 @@ def sync_diff(manifest: DataFrame, indexed: DataFrame) -> DataFrame:
     same = F.col("new").eqNullSafe(F.col("old")) & F.col("old").isNotNull()
     state = F.when(F.col("k").isNull(), "added").when(F.col("key").isNull(), "deleted").when(same, "unmodified").otherwise("modified")
     return both.select(F.coalesce("key", "k").alias("key"), state.alias("state"))
+
+
+def named_once(directories: DataFrame) -> DataFrame:
+    """Directories of which a parent holds only one of each name: the first by ``created_at`` and id; roots (NULL parent) never collide."""
+    by = W.partitionBy("knowledge_id", "parent_id", "name").orderBy("created_at", "id")
+    return directories.withColumn("_n", F.row_number().over(by)).where("parent_id IS NULL OR _n = 1").drop("_n")
+
+
+def moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Nodes under new parents (moves: id, target; a NULL target is the root); a move below itself or to a parent that isn't there is refused.
+
+    Every move is judged by the tree before any of them.
+    """
+    up = ancestors(nodes).select(F.col("id").alias("target"), F.col("ancestor_id").alias("id"), F.lit(True).alias("_below"))
+    there = nodes.select(F.col("id").alias("target"), F.lit(True).alias("_there"))
+    judged = moves.join(up, ["id", "target"], "left").join(there, "target", "left")
+    fine = judged.where("_below IS NULL AND (target IS NULL OR _there)").select("id", "target", F.lit(True).alias("_moved"))
+    return nodes.join(fine, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("target")).otherwise(F.col("parent_id"))).drop("target", "_moved")

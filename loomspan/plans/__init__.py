@@ -1,4 +1,4 @@
 """Registered queries and their SQL oracles."""
 
 #: Modules with ``QUERIES`` and ``SQL``.
-CORE = ("integrity", "chunking", "knowledge", "catalog", "library", "chat")
+CORE = ("integrity", "chunking", "knowledge", "catalog", "library", "chat", "records")

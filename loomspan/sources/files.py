@@ -49,7 +49,13 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """path, filename, checksum (SHA-256 of the bytes) and size of every file below a folder."""
-    return binary_files(spark, folder).select("path", "filename", F.sha2("content", 256).alias("checksum"), "size")
+    return manifest_of(binary_files(spark, folder).select("path", "content"))
+
+
+def manifest_of(contents: DataFrame) -> DataFrame:
+    """The manifest of rows of path and content; hidden files and folders are left out."""
+    seen = contents.where(~F.col("path").rlike(r"(^|/)\."))
+    return seen.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("checksum"), F.length("content").cast("bigint").alias("size"))
 
 
 def golden_set(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
@@ -60,8 +66,12 @@ def golden_set(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 def documents_map(spark: SparkSession, path: str) -> DataFrame:
     """filename and text from one JSON object of texts by name."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("filename", "text"))
+    return map_entries(spark.read.text(path, wholetext=True))
+
+
+def map_entries(texts: DataFrame) -> DataFrame:
+    """filename and text of each entry of JSON objects (``value``)."""
+    return texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("filename", "text"))
 
 
 def write_report(items: DataFrame, path: str) -> None:

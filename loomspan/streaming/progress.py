@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,6 +35,13 @@ def all_done(states: DataFrame) -> DataFrame:
     return states.agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(F.col("status").isin(*TERMINAL)).alias("n_ended"), (F.coalesce(F.every(F.col("status").isin(*TERMINAL)), F.lit(False))).alias("all_done"))
 
 
+def until_ended(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What a stream of each key sends: all events up to the first that ends it."""
+    by = W.partitionBy(*keys).orderBy(*order)
+    before = F.sum(F.when(F.col("status").isin(*TERMINAL), 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, -1))
+    return events.withColumn("_ended", F.coalesce(before, F.lit(0))).where("_ended = 0").drop("_ended")
+
+
 def start_progress(events: DataFrame, name: str, checkpoint: str, watermark: str | None = None) -> StreamingQuery:
     """Keep the progress of a stream of events in the memory table ``name`` until its input ends."""
     rows = events if watermark is None else events.withWatermark("ts", watermark)
