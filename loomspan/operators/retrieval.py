@@ -17,28 +17,29 @@ QUERY_BLOCK = 4096
 def _block_topk(ids: np.ndarray, groups: np.ndarray, matrix: np.ndarray, k: int, same_group: bool):
     norms = np.linalg.norm(matrix, axis=1)
 
+    def best(asked: np.ndarray, own: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the best ``k`` rows of each asked query."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = np.nan_to_num(matrix[asked] @ data.T / (norms[asked][:, None] * np.linalg.norm(data, axis=1)[None, :]))
+        score = np.where(ids[asked][:, None] == own[None, :], -2.0, np.round(sims, 6))
+        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+        q, c = np.repeat(np.arange(len(asked)), order.shape[1]), order.ravel()
+        keep = score[q, c] > -2
+        return asked[q[keep]], c[keep], score[q[keep], c[keep]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            group = batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ok = np.nonzero(sizes == matrix.shape[1])[0]
-            if not len(ok):
-                continue
-            data = np.array(lists.take(pa.array(ok)).to_pylist(), np.float64)
-            size = np.linalg.norm(data, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sims = np.nan_to_num(matrix @ data.T / (norms[:, None] * size[None, :]))
-            score = np.round(sims, 6)
-            if same_group:
-                score = np.where(groups[:, None] == group[ok][None, :], score, -2.0)
-            score = np.where(ids[:, None] == own[ok][None, :], -2.0, score)
-            order = np.lexsort((np.broadcast_to(own[ok], score.shape), -score), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            c = order.ravel()
-            keep = score[q, c] > -2
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(own[ok][c[keep]]), pa.array(score[q[keep], c[keep]])], names=["query_id", "item_id", "score"])
+            ok = np.nonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == matrix.shape[1])[0]
+            own = batch.column(0).to_numpy(zero_copy_only=False)[ok]
+            group = batch.column(1).to_numpy(zero_copy_only=False)[ok]
+            data = np.array(lists.take(pa.array(ok)).to_pylist(), np.float64).reshape(len(ok), -1)
+            everything = [(np.arange(len(ids)), np.arange(len(ok)))]
+            shares = [(np.nonzero(groups == g)[0], np.nonzero(group == g)[0]) for g in np.intersect1d(groups, group)] if same_group else everything
+            for asked, rows in shares:  # only rows of a query's own group are scored
+                if len(asked) and len(rows):
+                    q, c, score = best(asked, own[rows], data[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[rows][c]), pa.array(score)], names=["query_id", "item_id", "score"])
 
     return run
 

@@ -133,14 +133,33 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25(spark, folder, 10)
 
 
-@query(f"""
-WITH a AS ({_TOPK.format('')}), b AS ({_TOPK.format('AND q.label = i.label')}),
-sa AS (SELECT query_id, item_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS x FROM a),
-sb AS (SELECT query_id, item_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS y FROM b),
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = "[" + ", ".join(f"(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+def _letter_vectors(df: DataFrame, text: str) -> DataFrame:
+    """Counts of the letters a to z as a small vector that both engines can make."""
+    low = F.lower(text)
+    return df.withColumn("embedding", F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]))
+
+
+@query(_BM25 + f""", wa AS (SELECT query_id, ('0x' || substr(item_id, 1, 8))::BIGINT AS item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 50),
+iv AS (SELECT ('0x' || substr(id, 1, 8))::BIGINT AS id, knowledge_id AS scope, {_COUNTS.format('content')} AS v FROM cur WHERE content IS NOT NULL), qv AS (SELECT id AS query_id, kb_id AS scope, {_COUNTS.format('question')} AS v FROM golden_set WHERE kb_id IS NOT NULL),
+vb AS (SELECT query_id, iv.id AS item_id, round(coalesce(CASE WHEN list_sum(iv.v) > 0 AND list_sum(qv.v) > 0 THEN list_cosine_similarity(iv.v, qv.v) END, 0), 6) AS score FROM qv JOIN iv USING (scope) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 50),
+sa AS (SELECT query_id, item_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS x FROM wa),
+sb AS (SELECT query_id, item_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS y FROM vb),
 f AS (SELECT query_id, item_id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 6) AS score FROM sa FULL JOIN sb USING (query_id, item_id))
-SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f WHERE score >= 0 QUALIFY rank <= 10""")
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f WHERE score >= 0.2 QUALIFY rank <= 10""")
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.hybrid_topk(vector_topk(spark, folder), vector_topk_filtered(spark, folder))
+    """BM25 and a vector ranking of the same chunks for the same questions, 50 of each, fused at equal weight with a threshold."""
+    number = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("bigint")
+    words = _bm25(spark, folder, 50).withColumn("item_id", number("item_id"))
+    scope = F.substring("scope", 4, 20).cast("bigint").alias("label")
+    chunks = K.current_chunks(t(spark, folder, "knowledge_chunk")).where("content IS NOT NULL").select(number("id").alias("vec_id"), F.col("knowledge_id").alias("scope"), "content")
+    asked = t(spark, folder, "golden_set").where("kb_id IS NOT NULL").select((-F.substring("id", 2, 20).cast("bigint")).alias("vec_id"), F.col("kb_id").alias("scope"), "question")
+    near = R.vector_topk(_letter_vectors(chunks, "content").select("vec_id", "embedding", scope), _letter_vectors(asked, "question").select("vec_id", "embedding", scope), 50, same_group=True)
+    near = near.withColumn("query_id", F.concat(F.lit("q"), F.lpad((-F.col("query_id")).cast("string"), 7, "0")))
+    return R.hybrid_topk(words, near, 0.5, 0.2)
 
 
 @query(f"""WITH {_CTX}, f AS (SELECT id, pos, c.text AS text, coalesce(c.source, 'N/A') AS source, min(pos) OVER (PARTITION BY id, coalesce(c.source, 'N/A')) AS first FROM ctx WHERE c.text IS NOT NULL),
