@@ -1,14 +1,15 @@
 """Markup left in texts: its kinds, and clean text that keeps the structure.
 
 A tolerant parser takes everything that could be HTML, Markdown, wiki or LaTeX markup, closed or cut
-off, as a node of a tree. Gradient-boosted trees rate each node by its syntax, attribute tokens, depth,
-siblings and the density of nodes below it; they are fitted on synthetic texts of fixed number
+off, as a node of a tree; HTML tags are paired to a tree of elements. Gradient-boosted trees rate each
+node by its syntax, attribute tokens, depth, siblings and the density of nodes below it; they are fitted on synthetic texts of fixed number
 (``SAMPLES``) with known markup and look-alikes, no table is read for it. Decoding chooses the nodes of the
 best total log odds over the tree such that no node inside chosen code, comment, formula or template is
-chosen too, and of overlapping nodes one.
+chosen too, of overlapping nodes one, and of an element's two tags both or none.
 
-Clean text drops the marks and keeps: headings as lines of their own, list items as ``- ``, table
-cells separated by tabs, code and formulas as they are. ``blocks`` tells where these lie.
+Clean text drops the marks, scripts and styles and keeps: headings as lines of their own, list items as
+``- ``, table cells separated by tabs, code and formulas as they are, bare mathematical commands too.
+``blocks`` tells where these lie, those of HTML elements included.
 
 Results for odd input: NULL texts have no kinds and NULL clean text; empty texts stay empty;
 texts without any candidate mark (tested in the JVM) come out unchanged without being parsed;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .markup_nodes import ANY, KINDS, Node, candidates, decode, features, link_tree
+from .markup_nodes import ANY, KINDS, Node, agree, candidates, decode, features, link_tree
 from .markup_samples import sample
 
 SAMPLES = 4000
@@ -75,6 +76,7 @@ def chosen_of(texts: list[str], model: BoostedTrees) -> list[list[Node]]:
         for n in nodes:
             n.odds = float(odds[at])
             at += 1
+        agree(nodes)
         decode(roots)
         out.append([n for n in nodes if n.chosen])
     return out
@@ -88,6 +90,12 @@ def kinds_of(nodes: list[Node]) -> list[str]:
 _HEADINGS, _BREAKS = frozenset("h1 h2 h3 h4 h5 h6 title caption".split()), frozenset("p div br tr table ul ol li dl dt dd section article header footer pre blockquote hr h1 h2 h3 h4 h5 h6 tbody thead center form".split())
 
 
+#: Structures that elements are, elements whose content goes, and commands that stand for mathematics.
+_ELEMENTS = {**{f"h{i}": "heading" for i in range(1, 7)}, "title": "heading", "ul": "list", "ol": "list", "dl": "list", "table": "table", "pre": "code", "code": "code", "kbd": "code", "samp": "code", "tt": "code"}
+_SILENT = frozenset(("script", "style"))
+_MATHS = frozenset("alpha beta cdot delta epsilon frac gamma geq infty int lambda ldots leq ln log mathbf mathcal mathrm mu omega operatorname partial pi prod sigma sqrt sum theta times vec".split())
+
+
 def _replacement(text: str, n: Node) -> tuple[str, str | None, bool]:
     """(what stands for a node, the structure it is, whether its content is cleaned further)."""
     inner = text[n.inner[0] : n.inner[1]]
@@ -134,6 +142,8 @@ def _replacement(text: str, n: Node) -> tuple[str, str | None, bool]:
                 return "", None, False
             if name == "item":
                 return "- ", None, False
+            if name in _MATHS:
+                return text[n.start : n.end], "formula", False
             shown = "".join(re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}?", inner if n.type == "command" else "{" + inner)) or ("" if inner or not n.name else "")
             return shown, "heading" if name.endswith(("section", "chapter")) else None, False
     return inner, None, True
@@ -142,11 +152,12 @@ def _replacement(text: str, n: Node) -> tuple[str, str | None, bool]:
 def clean(text: str, nodes: list[Node]) -> tuple[str, list[tuple[str, int, int]]]:
     """(clean text, (structure, start, end) in it) of a text with its markup nodes."""
     for n in nodes:
-        n.children = []
+        n.children, n.mate = [], None
     roots = link_tree(sorted((n for n in nodes if n.chosen), key=lambda n: (n.start, -n.end)))
     out: list[str] = []
     size = 0
     blocks: list[tuple[str, int, int]] = []
+    opened: dict[int, int] = {}
 
     def put(s: str) -> None:
         nonlocal size
@@ -159,6 +170,14 @@ def clean(text: str, nodes: list[Node]) -> tuple[str, list[tuple[str, int, int]]
             if n.start < at or n.end > hi:
                 continue
             put(text[at : n.start])
+            name = n.name.lower() if n.type in ("tag", "endtag") else ""
+            if n.type == "tag" and name in _SILENT:
+                at = n.mate.start if n.mate is not None and n.mate.chosen else n.end
+                continue
+            if n.type == "endtag" and id(n.mate) in opened:
+                begin = opened.pop(id(n.mate))
+                if size > begin:
+                    blocks.append((_ELEMENTS[name], begin, size))
             shown, structure, deeper = _replacement(text, n)
             begin = size
             if deeper:
@@ -167,11 +186,13 @@ def clean(text: str, nodes: list[Node]) -> tuple[str, list[tuple[str, int, int]]
                 put(shown)
             if structure and size > begin:
                 blocks.append((structure, begin, size))
+            if n.type == "tag" and name in _ELEMENTS and n.mate is not None:
+                opened[id(n)] = size
             at = n.end
         put(text[at:hi])
 
     walk(0, len(text), roots)
-    return "".join(out), blocks
+    return "".join(out), sorted(blocks, key=lambda b: (b[1], -b[2]))
 
 
 def _parse(shared: Broadcast, with_text: bool):

@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 
 from loomspan.llm import markup as M
+from loomspan.llm import markup_nodes as N
 from loomspan.llm.markup_samples import sample
 
 
@@ -37,6 +39,30 @@ def test_clean_keeps_structure(model):
     assert "<" not in out and "**bold**" not in out
     assert {"heading", "code", "formula"} <= {b[0] for b in blocks} and all(0 <= a < z <= len(out) for _, a, z in blocks)
 
+def test_elements_are_a_tree(model):
+    text = '<div class="a"><ul><li>one</li><li>two <b>x</b></li></ul></div> <p>open'
+    nodes = N.candidates(text)
+    N.link_tree(nodes)
+    tags = [n for n in nodes if n.type == "tag"]
+    assert [(n.name, n.level, n.mate is not None) for n in tags] == [("div", 0, True), ("ul", 1, True), ("li", 2, True), ("li", 2, True), ("b", 3, True), ("p", 0, False)]
+    assert tags[0].density > tags[3].density > tags[4].density == 0
+    assert {n.chosen for n in M.chosen_nodes(text, model)} == {True} and len(M.chosen_nodes(text, model)) == 11
+
+
+def test_clean_html(model):
+    text = "<h2>Title here</h2><p>Some words <b>bold</b>.</p><ul><li>one</li><li>two</li></ul><pre><code>x = 1\n  y()</code></pre><script>var a = '<b>';</script><style>p {color: red}</style><table><tr><td>a</td><td>b</td></tr></table> end"
+    out, blocks = M.clean(text, M.chosen_nodes(text, model))
+    assert {"heading", "list", "code", "table"} <= {b[0] for b in blocks}
+    assert [out[a:z].strip() for s, a, z in blocks if s == "heading"] == ["Title here"] and any(out[a:z] == "x = 1\n  y()" for s, a, z in blocks if s == "code")
+    assert "var a" not in out and "color" not in out and "a\tb" in out and "- one" in out and out.endswith("end")
+
+
+def test_bare_formulas_and_many_environments(model):
+    text = "so \\frac{a}{b} \\leq \\sqrt{c} holds"
+    assert M.clean(text, M.chosen_nodes(text, model))[0] == text
+    began = time.time()
+    N.candidates("\\begin{a}" * 8000)
+    assert time.time() - began < 2
 
 
 def test_long_formulas(model):
