@@ -1,10 +1,11 @@
 """Defective question and answer pairs.
 
 A multi-label linear classifier decides for each pair whether its answer is empty, truncated, a
-refusal, a copy of the question or in another language. It reads hashed n-grams of the answer's
-end (and of short answers) and pair features: how the answer ends, open code blocks, what remains
-once the question is taken out, the distances of both sides to language profiles, and how much
-each sentence is like a refusal, which a linear model over hashed n-grams of sentences says.
+refusal, a copy of the question or in another language. It reads hashed n-grams of the question, of
+the answer, of its end and of short answers, and pair features: how the answer ends, open code
+blocks, what remains once the question is taken out, the distances of both sides to language
+profiles, and how much each sentence is like a refusal, which a linear model over hashed n-grams of
+sentences says. Features are measures and their products; what they mean is learned.
 
 Both models are fitted on synthetic defects: a bounded sample of pairs (``SAMPLE`` rows, those with the
 smallest hash) gives clean pairs, which are cut off, swapped between languages, replaced by refusals,
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import languages as L
+from .arrays import blocks, owners, rolling
 from .pair_phrases import ASKED, CLOSINGS, HEDGES, PLACEHOLDERS, REFUSALS
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
@@ -39,7 +40,8 @@ SAMPLE = 6000
 #: Distinct sentences of the sample's answers, and of its questions, at most, that the sentence model is fitted on.
 CONTENT_SENTENCES, QUESTION_SENTENCES = 2600, 300
 SEED = 5
-GRAM_DIMS, SENTENCE_DIMS = 512, 2048
+#: Hashed n-grams of a pair: of the answer's end, of the answer as far as it is short, of the whole answer and of the question.
+GRAM_DIMS, SENTENCE_DIMS = (256, 256, 512, 256), 4096
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _CITE = re.compile(r"(?:\s*(?:\[\d+\]|【\d+】|\(\d+\)))+\s*$")
@@ -82,21 +84,26 @@ def sentences(answer: str) -> list[str]:
     return out
 
 
-def _hashed(text: str, sizes: tuple[int, ...], dims: int, salt: int = 0) -> list[int]:
-    raw = f"\x02{text}\x03"
-    return [zlib.crc32(raw[i : i + n].encode("utf-8", "surrogatepass"), salt) % dims for n in sizes for i in range(len(raw) - n + 1)]
+def gram_matrix(texts: list[str], sizes: tuple[int, ...], dims: int, salt: int = 0) -> np.ndarray:
+    """Counts of the hashed n-grams of each text, its borders included, as rows of length 1 of their square roots."""
+    out = np.zeros((len(texts), dims), np.float32)
+    for lo, hi, cp, offsets in blocks([f"\x02{t}\x03" for t in texts], 1 << 18):
+        owner, end = owners(offsets), np.repeat(offsets[1:], np.diff(offsets))
+        total = np.zeros((hi - lo) * dims)
+        for n in sizes:
+            h = rolling(cp, n)
+            at = np.nonzero(np.arange(len(h)) + n <= end[: len(h)])[0]
+            total += np.bincount(owner[at] * dims + ((h[at] + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % dims, minlength=len(total))
+        out[lo:hi] = np.sqrt(total).reshape(hi - lo, dims)
+    return out / np.maximum(1e-6, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+_DIGITS = re.compile(r"\d+")
 
 
 def sentence_matrix(rows: list[str]) -> np.ndarray:
-    x = np.zeros((len(rows), SENTENCE_DIMS + 1), np.float32)
-    for i, s in enumerate(rows):
-        s = re.sub(r"\d+", "0", s)
-        at = _hashed(s, (2, 3, 4), SENTENCE_DIMS)
-        np.add.at(x[i], at, 1)
-        x[i] = np.sqrt(x[i])
-        x[i] /= max(1e-6, float(np.linalg.norm(x[i])))
-    x[:, -1] = 1
-    return x
+    grams = gram_matrix([_DIGITS.sub("0", s) for s in rows], (2, 3, 4), SENTENCE_DIMS)
+    return np.concatenate([grams, np.ones((len(rows), 1), np.float32)], axis=1)
 
 
 def said_of(rows: list[str], model: Linear) -> np.ndarray:
@@ -168,7 +175,7 @@ def pair_matrix(pairs: list[tuple[str | None, str | None]], profiles: L.Profiles
     split = [sentences(a) for a in answers]
     flat = [s for ss in split for s in ss]
     said = said_of(flat, sentence)
-    rows = np.zeros((len(pairs), 35 + GRAM_DIMS + 1), np.float32)
+    rows = np.zeros((len(pairs), 35), np.float32)
     at = 0
     for i, (q, a, b) in enumerate(zip(qs, answers, bodies)):
         mine = said[at : at + len(split[i])]
@@ -189,24 +196,22 @@ def pair_matrix(pairs: list[tuple[str | None, str | None]], profiles: L.Profiles
         dots = bool(re.search(r"(?:\.\.\.|…)\s*$", tail or a)) or a.rstrip().endswith(("...", "…"))
         open_code = fences % 2 == 1
         ended = last in _ENDS and bool(last) and not dots
-        copied = held > 0.8 and rest < 0.35
+        copied = held**4 * max(0.0, 1 - rest / 0.7)
         every = mine.max(axis=1) if len(mine) else np.zeros(0)
         refused = float(mine[:, 0].max()) if len(mine) else 0.0
         least = float(every.min()) if len(mine) else 0.0
+        declines = refused * least
         short = len(letters) <= 12
         blank = not letters
         rows[i, :35] = (
             blank, short, len(letters) == 0 and len(a) > 0, min(len(letters), 400) / 100, np.log1p(len(letters)), value, open_code, ended, dots, fences >= 2 and not open_code and a.rstrip().endswith("```"),
-            last in "，,、;；:：" and bool(last), bool(last) and last.isalnum(), a != a.rstrip(), held, min(rest, 3), leads, copied, held > 0.8 and rest >= 0.35, foreign, gap * foreign, min(gap, 0.5),
-            refused, least, refused > 0.5 and least > 0.5, float(every.mean()) if len(mine) else 0, refused > 0.5 and least <= 0.5, len(mine), (not ended) and not value and not open_code and bool(letters) and not copied,
-            refused > 0.8 and least > 0.8, refused > 0.5 and 0.5 < least <= 0.8, (not ended) and refused > 0.5 and least > 0.5, dots and not blank, known, asked is not None, bool(end) and end[-1:].isdigit(),
+            last in "，,、;；:：" and bool(last), bool(last) and last.isalnum(), a != a.rstrip(), held, min(rest, 3), leads, copied, held**4 * min(1.0, rest / 0.7), foreign, gap * foreign, min(gap, 0.5),
+            refused, least, declines, float(every.mean()) if len(mine) else 0, refused * (1 - least), len(mine), (not (ended or value or open_code or blank)) * (1 - copied) * (1 - declines),
+            declines**4, 4 * declines * (1 - declines), (not ended) * declines, dots and not blank, known, asked is not None, bool(end) and end[-1:].isdigit(),
         )
-        grams = _hashed(a.rstrip()[-4:].casefold(), (1, 2), GRAM_DIMS, 1)
-        if short or len(a) <= 16:
-            grams += _hashed(a.strip().casefold(), (1, 2, 3), GRAM_DIMS, 2)
-        np.add.at(rows[i, 35:-1], grams, 0.5)
-    rows[:, -1] = 1
-    return rows
+    folded = [a.strip().casefold() for a in answers]
+    grams = [gram_matrix(texts, sizes, dims, k) for k, (texts, sizes, dims) in enumerate(zip(([a[-4:] for a in folded], [a if len(a) <= 16 else "" for a in folded], folded, [q.strip().casefold() for q in qs]), ((1, 2), (1, 2, 3), (2, 3), (2, 3)), GRAM_DIMS))]
+    return np.concatenate([rows, *grams, np.ones((len(pairs), 1), np.float32)], axis=1)
 
 
 def _ASK_SENTENCE(question: str) -> str:
@@ -433,8 +438,12 @@ def all_pairs(golden: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def train(pairs: DataFrame, sample: int = SAMPLE) -> PairModel:
-    rows = pairs.where("question IS NOT NULL AND answer IS NOT NULL").distinct().orderBy(F.xxhash64("origin", "pair_id", "answer"), "pair_id").limit(sample)
-    return fit_model([(r["question"], r["answer"]) for r in rows.collect()])
+    """A model of at most ``sample`` distinct pairs, those with the smallest hash; rows over a bound on the hash never leave their task."""
+    rows = pairs.where("question IS NOT NULL AND answer IS NOT NULL").withColumn("h", F.xxhash64("origin", "pair_id", "answer"))
+    share = min(1.0, 4 * sample / max(1, rows.count()))
+    some = rows.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    chosen = some.distinct().orderBy("h", "pair_id").limit(sample)
+    return fit_model([(r["question"], r["answer"]) for r in chosen.collect()])
 
 
 def _classify_batches(shared: Broadcast):
