@@ -63,3 +63,15 @@ ASKED = {
     "es": "spanish spanisch espagnol español espanhol испанском испански スペイン語 西班牙语 西班牙文", "pt": "portuguese portugiesisch portugais portugués português португальском португальски ポルトガル語 葡萄牙语 葡萄牙文",
     "ru": "russian russisch russe ruso russo русском русски ロシア語 俄语 俄文", "ja": "japanese japanisch japonais japonés japonês японском японски 日本語 日语 日文", "zh": "chinese chinesisch chinois chino chinês китайском китайски 中国語 中文 汉语",
 }
+
+# Ordinary statements of each language, which neither decline nor close an answer.
+ORDINARY = {
+    "de": ["Der Fahrer bringt die Pakete jeden Morgen in das Lager.", "Die Leitung prüft den Vertrag und schickt ihn an die Filiale.", "Das Formular liegt im Ordner neben der Rechnung.", "Wir haben die Daten gestern in die neue Tabelle übertragen."],
+    "en": ["The driver brings the parcels to the depot every morning.", "The manager checks the contract and sends it to the branch.", "The form is kept in the folder next to the invoice.", "We moved the records to the new table yesterday and shared a copy with the team."],
+    "es": ["El conductor lleva los paquetes al almacén cada mañana.", "La dirección revisa el contrato y lo envía a la sucursal.", "El formulario está en la carpeta junto a la factura.", "Ayer pasamos los datos a la nueva tabla."],
+    "fr": ["Le chauffeur apporte les colis au dépôt chaque matin.", "La direction vérifie le contrat et l'envoie à l'agence.", "Le formulaire se trouve dans le dossier à côté de la facture.", "Nous avons transféré les données dans le nouveau tableau hier."],
+    "ja": ["運転手は毎朝荷物を倉庫に運びます。", "責任者は契約書を確認して支店に送ります。", "用紙は請求書の隣のフォルダーにあります。", "昨日、データを新しい表に移しました。"],
+    "pt": ["O motorista leva as encomendas ao depósito todas as manhãs.", "A direção verifica o contrato e envia-o à filial.", "O formulário está na pasta ao lado da fatura.", "Ontem passámos os dados para a nova tabela."],
+    "ru": ["Водитель каждое утро привозит посылки на склад.", "Руководство проверяет договор и отправляет его в филиал.", "Бланк лежит в папке рядом со счётом.", "Вчера мы перенесли данные в новую таблицу."],
+    "zh": ["司机每天早上把包裹送到仓库。", "负责人检查合同并把它寄到分店。", "表格放在发票旁边的文件夹里。", "我们昨天把数据移到了新表里。"],
+}

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import languages as L
 from .arrays import blocks, owners, rolling
-from .pair_phrases import ASKED, CLOSINGS, HEDGES, PLACEHOLDERS, REFUSALS
+from .pair_phrases import ASKED, CLOSINGS, HEDGES, ORDINARY, PLACEHOLDERS, REFUSALS
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 SAMPLE = 6000
@@ -345,7 +345,7 @@ def fit_sentences(clean: list[tuple[str, str, str]]) -> Linear:
     r = random.Random(SEED)
     texts = [s for x in L.LANGS for p in REFUSALS[x] for s in sentences(p)]
     ends = [s for x in L.LANGS for p in CLOSINGS[x] for s in sentences(p)]
-    hedges = [s for x in L.LANGS for p in HEDGES[x] for s in sentences(p)]
+    hedges = [s for x in L.LANGS for p in HEDGES[x] + ORDINARY[x] for s in sentences(p)]
     # A sentence that recurs, as refusals do, is one example, with whatever speaker.
     bare = lambda s: _SPEAKER.sub("", s) or s
     content = sorted({bare(s) for _, a, _ in clean for s in sentences(a)})
@@ -441,7 +441,7 @@ def train(pairs: DataFrame, sample: int = SAMPLE) -> PairModel:
     """A model of at most ``sample`` distinct pairs, those with the smallest hash; rows over a bound on the hash never leave their task."""
     rows = pairs.where("question IS NOT NULL AND answer IS NOT NULL").withColumn("h", F.xxhash64("origin", "pair_id", "answer"))
     share = min(1.0, 4 * sample / max(1, rows.count()))
-    some = rows.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    some = rows.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     chosen = some.distinct().orderBy("h", "pair_id").limit(sample)
     return fit_model([(r["question"], r["answer"]) for r in chosen.collect()])
 
