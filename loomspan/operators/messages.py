@@ -37,7 +37,7 @@ def batch_deltas(deltas: DataFrame, key: str, order: list[str], kind: str, size:
     inner = W.partitionBy(key, "run").orderBy(*order)
     placed = runs.withColumn("_n", F.row_number().over(inner)).withColumn("batch", F.floor((F.col("_n") - 1) / size))
     last = F.lead("_n").over(inner).isNull() | (F.col("_n") % size == 0)
-    return placed.where(F.lit(True)).withColumn("_last", last).where("_last").drop("_last", "_new", "_n")
+    return placed.withColumn("_last", last).where("_last").drop("_last", "_new", "_n")
 
 
 def assemble_calls(deltas: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -46,11 +46,6 @@ def assemble_calls(deltas: DataFrame, keys: list[str], order: str) -> DataFrame:
     return deltas.groupBy(*keys).agg(F.max_by("name", F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.col(order))).alias("name"), F.array_join(F.transform(parts, lambda x: x["a"]), "").alias("arguments"))
 
 
-def tagged(text: Column, tag: str) -> Column:
-    """The contents of each ``<tag ...>...</tag>``; an unterminated one is left out."""
-    return F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(?:\s[^<>]*)?>(.*?)</{tag}>"), F.lit(1))
-
-
 def _json_objects(s: str | None) -> list[str] | None:
     out, at = [], 0
     s = (s or "").strip()
