@@ -33,7 +33,7 @@ def _block_topk(ids: np.ndarray, groups: np.ndarray, matrix: np.ndarray, k: int,
             ok = np.nonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == matrix.shape[1])[0]
             own = batch.column(0).to_numpy(zero_copy_only=False)[ok]
             group = batch.column(1).to_numpy(zero_copy_only=False)[ok]
-            data = np.array(lists.take(pa.array(ok)).to_pylist(), np.float64).reshape(len(ok), -1)
+            data = np.array(lists.take(pa.array(ok)).to_pylist(), np.float64).reshape(len(ok), matrix.shape[1])
             everything = [(np.arange(len(ids)), np.arange(len(ok)))]
             shares = [(np.nonzero(groups == g)[0], np.nonzero(group == g)[0]) for g in np.intersect1d(groups, group)] if same_group else everything
             for asked, rows in shares:  # only rows of a query's own group are scored
