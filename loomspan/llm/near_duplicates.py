@@ -19,8 +19,9 @@ sequences, after lower-casing, replacing white space runs by a blank and trimmin
 
 What is lost. Steps 3 and 4 and the size band lose nothing. A pair of similarity s fails a band with
 probability 1 - s^ROWS * P(at least AGREE of NIBBLES agree), and all of them with that to the power of
-``BANDS``: ``miss(0.7)`` is 2.5e-6, ``miss(0.75)`` 7e-9. It depends on nothing but s: neither on
-length, edits, frequency of shingles nor on the number of texts, and nothing is capped.
+``BANDS``: ``miss(0.7)`` is 2.5e-6, ``miss(0.75)`` 1.3e-8. It depends neither on edits, order, frequency
+of shingles nor on the number of texts, and nothing is capped. Where both texts together have some
+20 shingles or fewer, bins repeat each other; 5e-5 were missed there in simulations at 0.7.
 
 Distribution. Copies are reduced to one row per class in every task before anything is shuffled. A
 task sends each partition one binary row for some thousand texts, 26 bytes for each text and band
