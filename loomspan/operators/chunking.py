@@ -83,6 +83,25 @@ def sections(text: Column, header: Callable[[Column], Column], least: int, untit
     return F.aggregate(lines_of(text), start, step, flush)
 
 
+def headed_sections(text: Column, header: Callable[[Column], Column], least: int, untitled: str) -> Column:
+    """``sections`` without an upper size, cut at the places of the headers: linear in the lines of a text."""
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)  # bound, so that it isn't computed for each element
+
+    def cut(lines: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.coalesce(header(F.element_at(lines, i)), F.lit(False)))
+        return once(F.array_distinct(F.concat(F.array(F.lit(1)), heads)), lambda starts: F.transform(starts, lambda s, i: piece(lines, starts, s, i)))
+
+    def piece(lines: Column, starts: Column, s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), F.size(lines) + 1)
+        first = F.element_at(lines, s)
+        content = F.array_join(F.filter(F.slice(lines, s, end - s), lambda x: x != ""), "\n")
+        return F.struct(F.when(header(first), first).otherwise(F.lit(untitled)).alias("title"), content.alias("content"))
+
+    return F.filter(once(lines_of(text), cut), lambda p: F.length(p["content"]) > least)
+
+
 def book(text: Column, size: int = 3000) -> Column:
     def header(line: Column) -> Column:
         title = (F.length(line) < 50) & (line != "") & ~line.rlike("[。！？.!?，,]$")
@@ -97,11 +116,11 @@ def _named(words: list[str], within: int) -> Callable[[Column], Column]:
 
 
 def paper(text: Column) -> Column:
-    return sections(text, _named(PAPER, 100), 50, NO_SECTION)
+    return headed_sections(text, _named(PAPER, 100), 50, NO_SECTION)
 
 
 def resume(text: Column) -> Column:
-    return sections(text, _named(RESUME, 50), 20, NO_SECTION)
+    return headed_sections(text, _named(RESUME, 50), 20, NO_SECTION)
 
 
 def _fit(values: Column, size: Column) -> Column:

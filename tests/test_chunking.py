@@ -115,3 +115,13 @@ def test_questions_and_keywords(spark):
     assert len(got) == 3 and got[2] == C.DEFAULT_QUESTION and got[1].startswith("如何处理")
     words = spark.createDataFrame([(1, "苹果 香蕉 苹果 梨 葡萄", "x")], "doc_id int, text string, word string")
     assert [(r["rank"], r["word"], r["n"]) for r in C.keywords(words).orderBy("rank").collect()] == [(1, "苹果", 2), (2, "香蕉", 1), (3, "葡萄", 1)]
+
+
+def test_sections_are_linear_in_lines(spark):
+    import time
+
+    text = "\n".join("abstract" if k % 40 == 0 else f"line {k} of the text" for k in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    assert df.select(F.size(C.paper(F.col("text")))).first()[0] == 1000
+    assert time.time() - began < 20
