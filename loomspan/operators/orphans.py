@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_ref, utc_month
+from ..sources.shared import materialize
 
 #: Keys that a run has at most, as a power of two.
 BLOCK_BITS = 16
@@ -113,8 +114,9 @@ def orphan_references(children: list[Child], parents: list[Parent], deletions: D
         DataFrame.unionByName,
         [_keyed(c.df, c.entity, c.ref_col, c.created_col, F.lit(c.name).alias("child_table"), F.col(c.id_col).cast("string").alias("record_id")) for c in children],
     )
-    refs = records.groupBy(*_KEY).agg(F.min("created").alias("first_child"))
-    keys = parent_keys(parents)
+    # Both are needed twice: written once, a narrow row a distinct key.
+    refs = materialize(records.groupBy(*_KEY).agg(F.min("created").alias("first_child")))
+    keys = materialize(parent_keys(parents))
     absent = beyond_runs(refs, key_runs(keys))
     if deletions is not None:
         gone = _keyed(deletions.withColumn("created", F.lit(None).cast("bigint")), "", "entity_id", "created", F.lower("entity").alias("of")).select(F.col("of").alias("entity"), "kind", "hi", "lo", F.lit(True).alias("gone")).distinct()
