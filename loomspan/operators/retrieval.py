@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 #: Query vectors that are broadcast at a time; more are ranked block after block.
 QUERY_BLOCK = 4096
+#: Items of a scope that are scored together.
+ITEM_BLOCK = 16384
 
 
 def _block_topk(ids: np.ndarray, groups: np.ndarray, matrix: np.ndarray, k: int, same_group: bool):
@@ -79,23 +84,138 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _packed(texts: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
+    """scope, ``key``, len (words of the text), and the words of the vocabulary among them: terms (their places) and tf (their numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, v = pa.array(vocabulary, pa.string()), max(1, len(vocabulary))
+        for batch in batches:
+            words = batch.column(3)
+            term = pc.index_in(words.flatten(), value_set=known)
+            there = term.is_valid().to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(words).to_numpy()[there].astype(np.int64)
+            pairs, tf = np.unique(row * v + term.drop_null().to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs // v, np.arange(len(batch) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pairs % v, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["scope", key, "len", "terms", "tf"])
+
+    words = texts.select("scope", key, words_of(F.col("text")).alias("w")).select("scope", key, F.when(F.col("w").isNotNull(), F.size("w")).alias("len"), "w")
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    return words.mapInArrow(run, f"scope {kinds['scope']}, {key} {kinds[key]}, len int, terms array<int>, tf array<int>")
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the best ``k`` of each row of a matrix; scores are rounded to 6 places, ties go by column, -inf is none."""
+    m = scores.shape[1]
+    least = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(len(scores), -np.inf)
+    row, col = np.nonzero((scores >= least[:, None] - 1e-6) & (scores > -np.inf))
+    score = np.floor(scores[row, col] * 1e6 + 0.5) / 1e6
+    order = np.lexsort((col, -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], score[keep]
+
+
+def _ordered(items: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
+    """Items in the order of unit and id, the units there are and where each one's items begin and end."""
+    items = items.take(pc.sort_indices(items, sort_keys=[("unit", "ascending"), ("item_id", "ascending")], null_placement="at_start")).combine_chunks()
+    units = pc.unique(items["unit"].combine_chunks())
+    code = pc.index_in(items["unit"], value_set=units).to_numpy()
+    return items, units, np.searchsorted(code, np.arange(len(units) + 1))
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element of a column of lists."""
+    column = table[name].combine_chunks()
+    return pc.list_parent_indices(column).to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _met(items: DataFrame, queries: DataFrame, sizes: DataFrame, n_items: int, score) -> DataFrame:
+    """``score`` of the items and queries of each scope: query_id, item_id, score.
+
+    A scope of more than ``ITEM_BLOCK`` items is cut into units by hash of the id, and its queries go to each
+    of them; small scopes share a bucket. So no pair of an item and a query is ever a row, and a bucket
+    holds about ``ITEM_BLOCK`` items.
+    """
+    spark = items.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_items // ITEM_BLOCK))
+    large = F.broadcast(sizes.where(F.col("n") > ITEM_BLOCK).select("scope", F.ceil(F.col("n") / ITEM_BLOCK).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+
+    def placed(df: DataFrame, part: Column) -> DataFrame:
+        rows = df.join(large, "scope", "left").withColumn("_part", part)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("scope") + F.col("_part"), F.lit(n)).cast("int")).withColumn("unit", F.concat_ws(":", "_part", "scope"))
+        return rows.drop("_part", "parts", "scope").repartition(n, "bucket")
+
+    left = placed(items, F.pmod(F.xxhash64("item_id"), parts).cast("int"))
+    right = placed(queries, F.explode(F.sequence(F.lit(0), parts - 1)))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "item_id": items.schema["item_id"].dataType.simpleString()}
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(score, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+
+
+def _found(items: pa.Table, queries: pa.Table, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    query, item, score = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
+    return pa.table({"query_id": queries["query_id"].take(pa.array(query.astype(np.int64))), "item_id": items["item_id"].take(pa.array(item.astype(np.int64))), "score": pa.array(score.astype(np.float64))})
+
+
+def _bm25_scores(vocabulary: int, k: int, k1: float, b: float):
+    v = max(1, vocabulary)
+
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(items) or not len(queries):
+            return _found(items, queries, [])
+        items, units, begins = _ordered(items)
+        code = np.repeat(np.arange(len(units)), np.diff(begins))
+        asked = pc.fill_null(pc.index_in(queries["unit"], value_set=units), -1).to_numpy()
+        mean = np.ones(len(units))
+        mean[asked[asked >= 0]] = queries["avg_len"].to_numpy()[asked >= 0]
+        row, term = _lists(items, "terms")
+        tf, length = _lists(items, "tf")[1].astype(np.float64), items["len"].to_numpy().astype(np.float64)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean[code[row]]))
+        by = np.argsort(key := code[row] * v + term, kind="stable")
+        key, row, part = key[by], row[by], part[by]
+        query, wanted = _lists(queries, "terms")
+        idf = _lists(queries, "idf")[1]
+        low, high = (np.searchsorted(key, asked[query] * v + wanted, side) for side in ("left", "right"))
+        ends, found = np.searchsorted(query, np.arange(len(queries) + 1)), []
+        for q in np.nonzero(asked >= 0)[0]:
+            first, end = begins[asked[q]], begins[asked[q] + 1]
+            total = np.zeros(end - first)
+            for j in range(ends[q], ends[q + 1]):
+                if low[j] < high[j]:
+                    total[row[low[j] : high[j]] - first] += idf[j] * part[low[j] : high[j]]
+            some = np.nonzero(total)[0]
+            if len(some):
+                _, col, score = _top(total[some][None, :], k)
+                found.append((np.full(len(col), q), first + some[col], score))
+        return _found(items, queries, found)
+
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def bm25_topk(items: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 within a scope: items (scope, item_id, text), queries (scope, query_id, text) to query_id, item_id, score, rank.
 
     Only items that share a word and the scope with a query meet. Scores are rounded to 6 places, ties by id.
+    An item is one row. The distinct words of the questions are gathered in the driver; items are written
+    once with those of their words only, and each block of items keeps its own best ``k`` a query.
     """
-    words = items.select("scope", "item_id", words_of(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    tf = words.select("scope", "item_id", "len", F.explode("w").alias("word")).groupBy("scope", "item_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    size = words.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("scope", "query_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    terms = asked.join(df, ["scope", "word"]).join(size, "scope")
+    queries = queries.where(F.col("scope").isNotNull())
+    vocabulary = sorted(r[0] for r in queries.select(F.explode(words_of(F.col("text"))).alias("word")).distinct().collect())
+    packed = materialize(_packed(items.where(F.col("scope").isNotNull()), "item_id", vocabulary))
+    size = packed.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    df = packed.select("scope", F.explode("terms").alias("term")).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    asked = _packed(queries, "query_id", vocabulary).select("scope", "query_id", F.explode("terms").alias("term")).distinct()
+    terms = asked.join(df, ["scope", "term"]).join(size, "scope")
     terms = terms.withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hits = terms.join(tf, ["scope", "word"])
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+    asked = terms.groupBy("scope", "query_id", "avg_len").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).select("scope", "query_id", "avg_len", "t.term", "t.idf").withColumnRenamed("term", "terms")
+    some = packed.where(F.size("terms") > 0)
+    return _ranked(_met(some, asked, size, packed.count(), _bm25_scores(len(vocabulary), k, k1, b)), k)
 
 
 def hybrid_topk(words: DataFrame, other: DataFrame, weight: float = 0.5, threshold: float = 0.0, k: int = 10) -> DataFrame:
