@@ -17,6 +17,8 @@ from ..sources.shared import materialize
 QUERY_BLOCK = 4096
 #: Items of a scope that are scored together.
 ITEM_BLOCK = 16384
+#: Cosines that are held at a time.
+SCORES = 2_000_000
 
 
 def _block_topk(ids: np.ndarray, groups: np.ndarray, matrix: np.ndarray, k: int, same_group: bool):
@@ -218,6 +220,48 @@ def bm25_topk(items: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2
     return _ranked(_met(some, asked, size, packed.count(), _bm25_scores(len(vocabulary), k, k1, b)), k)
 
 
+def _cosine_scores(k: int):
+    def run(items: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(items) or not len(queries):
+            return _found(items, queries, [])
+        items, units, begins = _ordered(items)
+        asked = pc.fill_null(pc.index_in(queries["unit"], value_set=units), -1).to_numpy()
+        (own, width), (wanted, length) = (((c := table["embedding"].combine_chunks()), pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)) for table in (items, queries))
+        found = []
+        for unit in np.unique(asked[asked >= 0]):
+            rows, questions = np.arange(begins[unit], begins[unit + 1]), np.nonzero(asked == unit)[0]
+            for size in np.unique(width[rows][width[rows] > 0]):
+                r, q = rows[width[rows] == size], questions[length[questions] == size]
+                data, vectors = (lists.take(pa.array(x)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), size) for lists, x in ((own, r), (wanted, q)))
+                vectors, kind = np.unique(vectors, axis=0, return_inverse=True)  # questions of one vector are scored once
+                q, kind = q[by := np.argsort(kind.ravel(), kind="stable")], kind.ravel()[by]
+                step = max(1, SCORES // len(r))
+                for a in range(0, len(vectors), step):
+                    some = vectors[a : a + step]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        row, col, score = _top(np.nan_to_num(some @ data.T / np.sqrt((some * some).sum(1)[:, None] * (data * data).sum(1)[None, :])), k)
+                    low, high = np.searchsorted(kind, [a, a + len(some)])
+                    first, end = (np.searchsorted(row, kind[low:high] - a, side) for side in ("left", "right"))
+                    each = np.repeat(first - np.cumsum(end - first) + (end - first), end - first) + np.arange((end - first).sum())
+                    found.append((np.repeat(q[low:high], end - first), r[col[each]], score[each]))
+        return _found(items, queries, found)
+
+    return run
+
+
+def scoped_topk(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` items of the highest cosine within each query's scope, ties by id: items (scope, item_id, embedding), queries (scope, query_id, embedding) to query_id, item_id, score, rank.
+
+    Items are written once and read once whatever the number of queries, as both meet in blocks of a
+    scope, and each block keeps its own best ``k`` a query. A query meets the items of its own vector
+    length; a vector without a direction has a cosine of 0 with all; empty and NULL vectors rank nowhere.
+    """
+    there = F.col("scope").isNotNull() & (F.size("embedding") > 0)
+    items = materialize(items.where(there).select("scope", "item_id", "embedding"))
+    sizes = items.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    return _ranked(_met(items, queries.where(there).select("scope", "query_id", "embedding"), sizes, items.count(), _cosine_scores(k)), k)
+
+
 def hybrid_topk(words: DataFrame, other: DataFrame, weight: float = 0.5, threshold: float = 0.0, k: int = 10) -> DataFrame:
     """Two rankings (query_id, item_id, score) fused: each scaled by its query's best, then weighted; scores under ``threshold`` go."""
 

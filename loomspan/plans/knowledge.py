@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,10 +141,23 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _COUNTS = "[" + ", ".join(f"(length(lower({{0}})) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
 
 
+def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column(0).cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        counts = np.zeros((len(text), len(_LETTERS)))
+        for i in range(len(text)):
+            counts[i] = np.bincount(data[ends[i] : ends[i + 1]], minlength=256)[97:123]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * len(_LETTERS), pa.int32()), pa.array(counts.ravel()), mask=text.is_null())
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], vectors], names=[*batch.schema.names[1:], "embedding"])
+
+
 def _letter_vectors(df: DataFrame, text: str) -> DataFrame:
-    """Counts of the letters a to z as a small vector that both engines can make."""
-    low = F.lower(text)
-    return df.withColumn("embedding", F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]))
+    """Counts of the letters a to z of ``text`` in its place, as a small vector that both engines can make; NULL without a text."""
+    rest = [c for c in df.columns if c != text]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(F.lower(text), *rest).mapInArrow(_letter_counts, f"{kinds}, embedding array<double>")
 
 
 @query(_BM25 + f""", wa AS (SELECT query_id, ('0x' || substr(item_id, 1, 8))::BIGINT AS item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 50),
@@ -154,11 +171,11 @@ def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 and a vector ranking of the same chunks for the same questions, 50 of each, fused at equal weight with a threshold."""
     number = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("bigint")
     words = _bm25(spark, folder, 50).withColumn("item_id", number("item_id"))
-    scope = F.substring("scope", 4, 20).cast("bigint").alias("label")
-    chunks = K.current_chunks(t(spark, folder, "knowledge_chunk")).where("content IS NOT NULL").select(number("id").alias("vec_id"), F.col("knowledge_id").alias("scope"), "content")
-    asked = t(spark, folder, "golden_set").where("kb_id IS NOT NULL").select((-F.substring("id", 2, 20).cast("bigint")).alias("vec_id"), F.col("kb_id").alias("scope"), "question")
-    near = R.vector_topk(_letter_vectors(chunks, "content").select("vec_id", "embedding", scope), _letter_vectors(asked, "question").select("vec_id", "embedding", scope), 50, same_group=True)
-    near = near.withColumn("query_id", F.concat(F.lit("q"), F.lpad((-F.col("query_id")).cast("string"), 7, "0")))
+    chunks = t(spark, folder, "knowledge_chunk").select("id", "knowledge_id", "file_id", "chunk_index", "content", "created_at", "updated_at")
+    chunks = K.current_chunks(_letter_vectors(chunks, "content")).where("embedding IS NOT NULL").select(F.col("knowledge_id").alias("scope"), number("id").alias("item_id"), "embedding")
+    asked = t(spark, folder, "golden_set").where("kb_id IS NOT NULL").select(F.col("kb_id").alias("scope"), F.col("id").alias("query_id"), "question")
+    asked = _letter_vectors(asked, "question")
+    near = R.scoped_topk(chunks, asked, 50)
     return R.hybrid_topk(words, near, 0.5, 0.2)
 
 

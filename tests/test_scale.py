@@ -62,3 +62,49 @@ def test_bm25_makes_no_rows_of_pairs(spark, monkeypatch, block):
     assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q]))
     if block > 300:  # over 40,000 pairs share a scope and a word
         assert records < 15_000
+
+
+@pytest.mark.parametrize("block", [16384, 40])
+def test_scoped_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", block)
+    monkeypatch.setattr(retrieval, "SCORES", 500)
+    vec = lambda i: None if i % 41 == 0 else [] if i % 43 == 0 else [0.0, 0.0] if i % 7 == 0 else [1.0, float(i % 9)] if i % 5 else [1.0, 2.0, float(i % 4)]
+    own = [("a" if i % 3 else "b", i, vec(i)) for i in range(200)] + [(None, 900, [1.0, 1.0])]
+    asked = [("a" if i % 4 else "b", f"q{i:04d}", vec(i + 3)) for i in range(150)] + [("c", "qc", [1.0, 1.0]), ("a", "qn", [None, 1.0])]
+    items = spark.createDataFrame(own, "scope string, item_id bigint, embedding array<double>")
+    rows = retrieval.scoped_topk(items, spark.createDataFrame(asked, "scope string, query_id string, embedding array<double>"), 6).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    want = {}
+    for scope, q, v in asked:
+        found = []
+        for s, i, w in own:
+            if s == scope and v and w and len(v) == len(w):
+                norm = 0 if None in v else math.sqrt(sum(x * x for x in v) * sum(x * x for x in w))
+                found.append((-round(sum(x * y for x, y in zip(v, w)) / norm if norm else 0.0, 6), i))
+        if found:
+            want[q] = [(i, -x) for x, i in sorted(found)[:6]]
+    assert got == want
+
+
+def test_hybrid_reads_chunks_a_fixed_number_of_times(spark, small, monkeypatch):
+    """However many blocks of questions there are."""
+    from loomspan.plans import knowledge
+
+    def scans():
+        plan = knowledge.hybrid_topk(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("mapInArrow") + plan.count("MapInArrow") + plan.count("Relation")
+
+    once = scans()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    assert scans() == once
+
+
+def test_letter_vectors(spark):
+    from loomspan.plans.knowledge import _letter_vectors
+
+    rows = [(1, "Abba zÅ 中z"), (2, None), (3, ""), (4, "中K")]
+    got = {r["n"]: r["embedding"] for r in _letter_vectors(spark.createDataFrame(rows, "n int, text string"), "text").collect()}
+    assert got[2] is None and got[3] == [0.0] * 26 and sum(got[4]) == got[4][10] == 1.0
+    assert (got[1][0], got[1][1], got[1][25], sum(got[1])) == (2.0, 2.0, 2.0, 6.0)
