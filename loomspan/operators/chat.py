@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
+from ..sources.shared import materialize
 from .retrieval import source_numbers
 
 _MENTION = r"<(?:\$([^|>]+)(?:\|[^>]*)?|/([^|>]+)\|[^>]*)>"
@@ -104,11 +105,50 @@ def knowledge_files(items: Column) -> Column:
     return F.transform(items, shaped)
 
 
-def chains(messages: DataFrame, ancestors: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The messages from the root to each leaf, as (leaf, place, message columns)."""
-    way = ancestors.join(leaves.select(F.col("id")).distinct(), "id", "left_semi").select(F.col("id").alias("leaf"), F.col("ancestor_id").alias("id"), "distance")
-    place = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("distance")))
-    return way.join(messages, "id").withColumn("place", place.cast("bigint")).drop("distance")
+def chains(messages: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The messages (id, parent_id and others) from the root to each leaf (id), as (leaf, place, message columns).
+
+    Messages hold a segment of their way up, itself first, and where the next one begins; segments double
+    each round, and each leaf takes one segment a round, so a chain of any depth takes as many rounds as its
+    depth has bits. Only messages where a segment is still to begin are kept for the next round, and a way
+    becomes rows at the end only. A missing parent ends a chain, a cycle ends where it would repeat. Ids are unique.
+    """
+    columns = [c for c in messages.columns if c != "parent_id"]
+    number = F.lit(0).cast("bigint")
+    nodes = messages.where(F.col("id").isNotNull()).select("id", F.nullif("parent_id", "id").alias("next"), F.array(F.struct(*columns)).alias("way"), F.lit(False).alias("loops"))
+    at = materialize(leaves.where(F.col("id").isNotNull()).select(F.col("id").alias("leaf")).distinct().select("leaf", F.col("leaf").alias("next"), number.alias("size"), F.array().cast(f"array<struct<round: int, id: {messages.schema['id'].dataType.simpleString()}, start: bigint>>").alias("stops"), F.lit(False).alias("loops")))
+    rounds, parts = 0, []
+    while True:
+        begins = at.where("next IS NOT NULL").select(F.col("next").alias("id"))
+        if begins.isEmpty():
+            break
+        needed = begins.unionByName(nodes.where("next IS NOT NULL").select(F.col("next").alias("id"))).distinct()
+        nodes = materialize(nodes.join(needed, "id", "left_semi"))
+        parts.append(nodes.join(begins.distinct(), "id", "left_semi").select(F.lit(rounds).alias("round"), "id", "way"))
+        on = nodes.select(F.col("id").alias("next"), F.col("next").alias("far"), F.size("way").alias("more"), F.col("loops").alias("also"))
+        stop = F.array(F.struct(F.lit(rounds).alias("round"), F.col("next").alias("id"), F.col("size").alias("start")))
+        here = F.col("more").isNotNull()
+        at = materialize(at.join(on, "next", "left").select("leaf", F.col("far").alias("next"), (F.col("size") + F.coalesce("more", number)).alias("size"), F.when(here, F.concat("stops", stop)).otherwise(F.col("stops")).alias("stops"), (F.col("loops") | F.coalesce("also", F.lit(False))).alias("loops")))
+        on = nodes.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("way").alias("more"), F.col("loops").alias("also"))
+        seen = F.transform("way", lambda x: x["id"])
+        rest = F.filter("more", lambda x: ~F.array_contains(seen, x["id"]))
+        repeats = F.coalesce(F.arrays_overlap(seen, F.transform("more", lambda x: x["id"])), F.lit(False))
+        grown = nodes.join(on, "next", "left")
+        nodes = grown.select("id", F.when(~repeats, F.col("far")).alias("next"), F.when(F.col("more").isNull(), F.col("way")).when(repeats, F.concat("way", rest)).otherwise(F.concat("way", "more")).alias("way"), (F.col("loops") | repeats | F.coalesce("also", F.lit(False))).alias("loops"))
+        rounds += 1
+    if not parts:
+        return messages.select(F.col("id").alias("leaf"), number.alias("place"), *columns).where("false")
+    ways = parts[0]
+    for part in parts[1:]:
+        ways = ways.unionByName(part)
+    stops = at.select("leaf", "size", "loops", F.explode("stops").alias("s")).select("leaf", "size", "loops", "s.*")
+    rows = stops.join(ways, ["round", "id"]).select("leaf", "size", "loops", "start", F.posexplode("way").alias("pos", "m")).withColumn("distance", F.col("start") + F.col("pos"))
+    out = rows.where("NOT loops").select("leaf", (F.col("size") - F.col("distance")).alias("place"), "m.*")
+    if at.where("loops").isEmpty():
+        return out
+    once = rows.where("loops").groupBy("leaf", F.col("m.id").alias("_id")).agg(F.min_by("m", "distance").alias("m"), F.min("distance").alias("distance"))
+    place = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("distance"))).cast("bigint")
+    return out.unionByName(once.select("leaf", place.alias("place"), "m.*"))
 
 
 def citations(results: DataFrame) -> DataFrame:

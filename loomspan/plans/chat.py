@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators import chat as H
 from ..operators import folds as D
 from ..operators import messages as M
-from ..operators import tree as T
 from ..sources.tables import read_table as t
 
 QUERIES: dict = {}
@@ -194,9 +193,8 @@ _CHAIN = "WITH RECURSIVE leaves AS (SELECT event_id AS leaf, event_id AS id, 0 A
 @query(f"{_CHAIN} SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY d DESC) AS place, e.event_id AS id, e.event_type AS role FROM up JOIN events e ON e.event_id = up.id")
 def message_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Messages with parents (half their number): the chain from the root to each leaf, with the keys a model needs."""
-    e = t(spark, folder, "events").select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 2).cast("string")).alias("parent_id"), F.col("event_type").alias("role"), F.col("props").alias("content"))
-    rows = H.chains(e.drop("parent_id"), T.ancestors(e.select("id", "parent_id")), e.where("role = 'signup'"))
-    return rows.select(F.col("leaf").cast("bigint").alias("leaf"), "place", F.col("id").cast("bigint").alias("id"), "role")
+    e = t(spark, folder, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 0, F.shiftright("event_id", 1)).alias("parent_id"), F.col("event_type").alias("role"))
+    return H.chains(e, e.where("role = 'signup'")).select("leaf", "place", "id", "role")
 
 
 @query("SELECT DISTINCT user_id, min_by(m, md5(user_id || '|' || m)) AS model FROM (SELECT DISTINCT user_id, event_type AS m FROM events WHERE event_type <> 'error') GROUP BY 1")

@@ -108,3 +108,34 @@ def test_letter_vectors(spark):
     got = {r["n"]: r["embedding"] for r in _letter_vectors(spark.createDataFrame(rows, "n int, text string"), "text").collect()}
     assert got[2] is None and got[3] == [0.0] * 26 and sum(got[4]) == got[4][10] == 1.0
     assert (got[1][0], got[1][1], got[1][25], sum(got[1])) == (2.0, 2.0, 2.0, 6.0)
+
+
+def test_chains(spark):
+    from loomspan.operators import chat
+
+    n = 700  # a long chain, a tree, a missing parent and a cycle with a way into it
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(1000 + i, 1000 + i // 2 if i else None) for i in range(n)] + [(5000, 4999), (5001, 5000)] + [(6000, 6002), (6001, 6000), (6002, 6001), (6003, 6002), (6004, 6003)]
+    up = dict(rows)
+    leaves = [39, 17, 5001, 6004, 6001] + [1000 + i for i in range(n // 2, n)]
+    want = {}
+    for leaf in leaves:
+        way, x = [], leaf
+        while x in up and x not in way:
+            way.append(x)
+            x = up[x]
+        want[leaf] = way[::-1]
+    messages = spark.createDataFrame([(i, p, f"r{i}") for i, p in rows], "id bigint, parent_id bigint, role string")
+    found, records = shuffled(spark, lambda: chat.chains(messages, spark.createDataFrame([(x,) for x in leaves], "id bigint")))
+    got = {}
+    for r in sorted(found, key=lambda r: r["place"]):
+        assert r["role"] == f"r{r['id']}" and r["place"] == len(got.setdefault(r["leaf"], [])) + 1
+        got[r["leaf"]].append(r["id"])
+    assert got == want
+
+
+def test_message_chain_shuffles_less_than_its_result(spark, small):
+    """Ways are rows only at the end; joined with the messages row by row, they were shuffled several times over."""
+    from loomspan.plans import chat
+
+    found, records = shuffled(spark, lambda: chat.message_chain(spark, "/root/testdata/sf0.01"))
+    assert records < 3 * len(found), (records, len(found))
